@@ -7,9 +7,10 @@ from .decontaminate import op6_decontaminate
 from .line_dedup import OP10_SQL, op10_line_dedup
 from .pii import op2_pii
 from .quality_rules import OP5_SQL, op5_quality_rules
+from .secrets import op4_secrets
 from .simhash_dedup import op9_simhash_dedup
 from .toxicity import op1_toxicity
 from .url_rules import OP3_SQL, op3_url_rules
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_pii, op3_url_rules, op5_quality_rules, op6_decontaminate, op7_byte_bpe, op9_simhash_dedup, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_pii, op3_url_rules, op4_secrets, op5_quality_rules, op6_decontaminate, op7_byte_bpe, op9_simhash_dedup, op10_line_dedup)}
 SQL = {"op3_url_rules": OP3_SQL, "op5_quality_rules": OP5_SQL, "op10_line_dedup": OP10_SQL}
