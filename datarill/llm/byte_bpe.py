@@ -240,24 +240,27 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", to: str = "text") -> Da
     return rows.select(*kept).mapInArrow(run, f"{schema}, `{to}` string")
 
 
-def round_trip(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens and the digests of the ids and of the bytes decoded from them, of every row of docs(doc_id, text)."""
+def round_trip(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens and the digests of the ids and of the bytes decoded from them, of every row of docs(doc_id, text, ...); and the ids, if asked for."""
     shared = _share(docs.sparkSession, path)
     hexdigest = lambda x: hashlib.sha256(x).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared)
         for b in batches:
-            n, ids, back = [], [], []
+            n, ids, back, whole = [], [], [], []
             for t in b.column(1).to_pylist():
                 found = codec.encode(t or "")
                 n.append(len(found) // 4)
                 ids.append(hexdigest(found))
                 back.append(hexdigest(codec.decode(found)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                if with_ids:
+                    whole.append(np.frombuffer(found, dtype="<u4").astype(np.int32))
+            more = [pa.array(whole, pa.list_(pa.int32()))] if with_ids else []
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string()), *more], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
