@@ -133,12 +133,13 @@ def filter_quality(docs: DataFrame) -> DataFrame:
     clean = docs.select([F.col(f"`{c}`") for c in docs.columns])
     narrow = materialize(measure(docs.select("lang", "source", "text")).drop("text"), "quality")
     limits = thresholds(narrow, ["lang", "source"])
-    full = measure(clean)
+    # The row number depends on the task, so no filter is moved below the measures, where it would repeat them.
+    full = measure(clean).withColumn("_q_row", F.monotonically_increasing_id())
     joined = full.join(limits, full["lang"].eqNullSafe(limits["_g0"]) & full["source"].eqNullSafe(limits["_g1"]), "left")
     above = F.lit(False)
     for m in MARGINS:
         above = above | F.coalesce(F.col(m) > F.col(f"limit_{m}"), F.lit(False))
-    return joined.where(~base_failed() & ~above).select([F.col(f"`{c}`") for c in docs.columns])
+    return joined.where((F.col("_q_row") >= 0) & ~base_failed() & ~above).select([F.col(f"`{c}`") for c in docs.columns])
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
