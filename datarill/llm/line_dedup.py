@@ -68,11 +68,9 @@ def boilerplate(lines: DataFrame, short_sites: int = SHORT_SITES, long_sites: in
     # A line can't stand on more sites than it has occurrences.
     found = materialize(found.where((F.col("n") >= limit) & (F.col("estimate") >= limit * (1 - NEAR) - 0.5)), "lines")
     near = F.abs(F.col("estimate") - limit) <= F.greatest(limit * NEAR, F.lit(1.0))
-    exact = (
-        lines.join(found.where(near).select("a", "b"), ["a", "b"], "left_semi")
-        .groupBy("a", "b", "site").agg(F.count(F.lit(1)).alias("_"))
-        .groupBy("a", "b").agg(F.count(F.lit(1)).alias("exact"))
-    )
+    # Pairs come first: a line that many texts share is down to one row per site and task before it moves.
+    pairs = lines.groupBy("a", "b", "site").agg(F.count(F.lit(1)).alias("_"))
+    exact = pairs.join(found.where(near).select("a", "b"), ["a", "b"], "left_semi").groupBy("a", "b").agg(F.count(F.lit(1)).alias("exact"))
     return (
         found.join(exact, ["a", "b"], "left")
         .withColumn("sites", F.coalesce("exact", "estimate"))
@@ -84,7 +82,8 @@ def boilerplate(lines: DataFrame, short_sites: int = SHORT_SITES, long_sites: in
 def removals(docs: DataFrame, site: str = "source", short_sites: int = SHORT_SITES, long_sites: int = LONG_SITES) -> DataFrame:
     """id, body and the sorted positions of the lines to remove from each text that loses any."""
     lines = materialize(line_table(docs, site), "spread")
-    bad = boilerplate(lines, short_sites, long_sites)
+    # As a table of its own, so that the join below may be split where one line has many rows.
+    bad = materialize(boilerplate(lines, short_sites, long_sites), "boilerplate")
     hit = lines.join(bad.select("a", "b", "first"), ["a", "b"])
     same = F.col("first").eqNullSafe(F.struct("id", "body", "pos"))
     return hit.where(~same).groupBy("id", "body").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
