@@ -2,8 +2,8 @@
 
 Learning: a bounded sample of labelled rows (EXAMPLES of each class, those with
 the smallest hashes; each distinct text once) gives document frequencies per
-class. Terms whose class association is significant (chi-square) are the
-vocabulary, TERMS at most. The examples' TF-IDF vectors over it form an inverted
+class. Terms that stand in toxic examples LIFT times as often as examples are
+toxic, significantly so (chi-square), are the vocabulary, TERMS at most. The examples' TF-IDF vectors over it form an inverted
 index in blocks of BLOCK examples with the largest impact of each term per
 block.
 
@@ -44,6 +44,8 @@ from .common import materialize, table
 EXAMPLES = 3000
 #: Vocabulary terms at most, and the least chi-square and document count of one.
 TERMS, CHI_SQUARE, LEAST_DOCS = 2000, 15.0, 3
+#: How many times the base rate a term's share of toxic examples must be; words of a language that is toxic more often aren't terms.
+LIFT = 3.0
 K, BLOCK = 25, 64
 #: Votes of the base rate against the neighbours' similarities.
 PRIOR = 0.5
@@ -102,6 +104,8 @@ class Model:
             score = np.zeros(BLOCK)
             for w, at, weights, starts, _ in lists:
                 lo, hi = starts[b], starts[b + 1]
+                if lo == hi:
+                    continue
                 score[at[lo:hi] - b * BLOCK] += w * weights[lo:hi]
             best += [(float(score[i]), b * BLOCK + i) for i in np.flatnonzero(score).tolist() if b * BLOCK + i != without]
             best = sorted(best, key=lambda x: (-round(x[0], 12), x[1]))[:k]
@@ -175,7 +179,7 @@ def fit(docs: DataFrame, labelled: DataFrame, examples: int = EXAMPLES, terms: i
     n, pos = F.lit(float(total)), F.lit(float(toxic))
     both = found.groupBy("term").agg(F.sum(F.col("label")).alias("a"), F.count(F.lit(1)).alias("df"))
     chi = n * F.pow(F.col("a") * n - F.col("df") * pos, 2) / (pos * (n - pos) * F.col("df") * F.greatest(n - F.col("df"), F.lit(0.5)))
-    chosen = both.withColumn("chi", chi).where((F.col("chi") >= CHI_SQUARE) & (F.col("df") >= LEAST_DOCS)).orderBy(F.col("chi").desc(), "term").limit(terms)
+    chosen = both.withColumn("chi", chi).where((F.col("chi") >= CHI_SQUARE) & (F.col("df") >= LEAST_DOCS) & (F.col("a") >= F.col("df") * min(LIFT * base, (1 + base) / 2))).orderBy(F.col("chi").desc(), "term").limit(terms)
     vocabulary = {r["term"]: r["df"] for r in chosen.collect()}
     idf = {t: math.log((1 + total) / (1 + d)) + 1 for t, d in vocabulary.items()}
     if not idf:
