@@ -127,19 +127,13 @@ def judge_quality(docs: DataFrame) -> DataFrame:
 def filter_quality(docs: DataFrame) -> DataFrame:
     """The rows of docs that are kept, with the columns of docs.
 
-    Each text is measured twice, once for the summaries and once for its
-    verdict, as that moves no text between machines.
+    Rows and their measures are written once; the summaries read the measures'
+    columns only. Whatever docs' columns are named, they stay inside a struct.
     """
-    clean = docs.select([F.col(f"`{c}`") for c in docs.columns])
-    narrow = materialize(measure(docs.select("lang", "source", "text")).drop("text"), "quality")
-    limits = thresholds(narrow, ["lang", "source"])
-    # The row number depends on the task, so no filter is moved below the measures, where it would repeat them.
-    full = measure(clean).withColumn("_q_row", F.monotonically_increasing_id())
-    joined = full.join(limits, full["lang"].eqNullSafe(limits["_g0"]) & full["source"].eqNullSafe(limits["_g1"]), "left")
-    above = F.lit(False)
-    for m in MARGINS:
-        above = above | F.coalesce(F.col(m) > F.col(f"limit_{m}"), F.lit(False))
-    return joined.where((F.col("_q_row") >= 0) & ~base_failed() & ~above).select([F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_q_doc"))
+    rows = rows.select("_q_doc", F.col("_q_doc.lang").alias("_q_lang"), F.col("_q_doc.source").alias("_q_source"))
+    measured = materialize(measure(rows, text_of(F.col("_q_doc.text"))), "quality")
+    return with_verdict(measured, ["_q_lang", "_q_source"]).where("kept").select("_q_doc.*")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -170,6 +170,8 @@ def test_quality_measures_match_brute_force(spark):
         assert got[i]["base_failed"] == (n < 20 or 100 * rep > 30 * n)
     kept = quality_rules.filter_quality(docs(spark, texts))
     assert sorted(x["doc_id"] for x in kept.collect()) == sorted(i for i in got if got[i]["kept"]) and kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    clash = docs(spark, texts).withColumn("N_WORDS", F.lit(1)).withColumn("kept", F.lit("x"))
+    assert quality_rules.filter_quality(clash).count() == kept.count()
 
 
 def test_quality_adapts_to_its_group(spark):
