@@ -217,10 +217,20 @@ def near_duplicates(docs: DataFrame, cap: int = CAP) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row of docs per component, that of its smallest doc_id, with the columns of docs."""
-    found = near_duplicates(docs)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi").dropDuplicates(["doc_id"])
+    """One row of docs per component, with the columns of docs: that of its smallest doc_id, nulls last, then text hash.
+
+    Rows are told apart by a number of their own, as components may share ids.
+    """
+    rows = materialize(docs.select("*", F.monotonically_increasing_id().alias("_row")), "rows")
+    marked = rows.select(F.struct("doc_id", F.xxhash64("text").alias("body"), "_row").alias("doc_id"), "text")
+    kind = marked.schema["doc_id"].dataType.simpleString()
+    fps = materialize(marked.mapInArrow(_fingerprints, f"doc_id {kind}, fp long"), "fingerprints")
+    order = F.struct(F.col("doc_id.doc_id").isNull().alias("unnamed"), "doc_id")
+    least = materialize(fps.groupBy("fp").agg(F.min(order).alias("least")), "distinct")
+    stars = components(links(least.select("fp")))
+    member = least.join(stars, least["fp"] == stars["node"], "left").select(F.coalesce("root", "fp").alias("root"), "least")
+    keep = member.groupBy("root").agg(F.min("least").alias("x")).select("x.doc_id._row")
+    return rows.join(keep, "_row", "left_semi").select(*docs.columns)
 
 
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

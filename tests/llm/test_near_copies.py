@@ -4,6 +4,7 @@ import random
 from itertools import combinations
 
 import corpus_pipeline
+from datarill.llm import simhash_dedup
 
 DOCS = "doc_id long, text string, extra int"
 
@@ -45,3 +46,14 @@ def test_near_dedup_stage_matches_brute_force(spark):
     kept = corpus_pipeline.near_dedup(spark, df, "")
     assert sorted(x["doc_id"] for x in kept.collect()) == brute(texts) and kept.columns == df.columns
     assert corpus_pipeline.near_dedup(spark, df.limit(0), "").count() == 0
+
+
+def test_components_that_share_or_lack_ids_keep_a_row_each(spark):
+    r = random.Random(6)
+    text = lambda: " ".join(r.choices([f"w{i}" for i in range(500)], k=60))
+    a, b, c, d = (text() for _ in range(4))
+    rows = [(None, a, 1), (None, b, 1), (None, a, 1), (7, c, 1), (7, d, 1), (7, d, 1), (8, d, 1)]
+    df = spark.createDataFrame(rows, DOCS)
+    for drop in (simhash_dedup.drop_near_duplicates, lambda x: corpus_pipeline.near_dedup(spark, x, "")):
+        got = sorted(((x["doc_id"], x["text"]) for x in drop(df).collect()), key=repr)
+        assert got == sorted([(None, a), (None, b), (7, c), (7, d)], key=repr)
