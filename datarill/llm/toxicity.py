@@ -1,7 +1,7 @@
 """Toxicity by the nearest labelled examples under TF-IDF cosine.
 
 Learning: a bounded sample of labelled rows (EXAMPLES of each class, those with
-the smallest hashes; each distinct text once) gives document frequencies per
+the smallest hashes; each distinct text once; both weighted by the class's count among all labels) gives document frequencies per
 class. Terms that stand in toxic examples LIFT times as often as examples are
 toxic, significantly so (chi-square), are the vocabulary, TERMS at most. The examples' TF-IDF vectors over it form an inverted
 index in blocks of BLOCK examples with the largest impact of each term per
@@ -68,6 +68,8 @@ class Model:
     base: float
     slope: float = 1.0
     shift: float = 0.0
+    #: What an example of class 0 and 1 counts for: its class's share of all labels over its share of the sample.
+    weights: tuple[float, float] = (1.0, 1.0)
     memo: dict = field(default_factory=dict)
 
     def __post_init__(self) -> None:
@@ -112,8 +114,8 @@ class Model:
         return best
 
     def vote(self, near: list[tuple[float, int]]) -> float:
-        total = sum(s for s, _ in near)
-        return (sum(s * self.labels[i] for s, i in near) + PRIOR * self.base) / (total + PRIOR)
+        votes = [(s * self.weights[self.labels[i]], self.labels[i]) for s, i in near]
+        return (sum(s * y for s, y in votes) + PRIOR * self.base) / (sum(s for s, _ in votes) + PRIOR)
 
     def curve(self, vote: float) -> float:
         vote = min(max(vote, 1e-6), 1 - 1e-6)
@@ -127,11 +129,12 @@ class Model:
         chosen = range(0, len(self.vectors), step)
         votes = np.clip([self.vote(self.nearest(self.vectors[i], without=i)) for i in chosen], 1e-6, 1 - 1e-6)
         x, y = np.log(votes / (1 - votes)), np.array([self.labels[i] for i in chosen], float)
+        c = np.array([self.weights[self.labels[i]] for i in chosen])
         a, b = 1.0, 0.0
         for _ in range(25):
             p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-            w = p * (1 - p)
-            g = np.array([((p - y) * x).sum() + (a - 1), (p - y).sum() + b])
+            w = c * p * (1 - p)
+            g = np.array([(c * (p - y) * x).sum() + (a - 1), (c * (p - y)).sum() + b])
             h = np.array([[(w * x * x).sum() + 1, (w * x).sum()], [(w * x).sum(), w.sum() + 1]])
             step_ = np.linalg.solve(h, g)
             a, b = a - step_[0], b - step_[1]
@@ -165,6 +168,8 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, labelled: DataFrame, examples: int = EXAMPLES, terms: int = TERMS) -> Model:
     """A model from docs(doc_id, text) and labelled(doc_id, label 0 or 1)."""
     rows = labelled.where(F.col("label").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
+    rows = materialize(rows, "labels")
+    all_labels = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     ranked = [rows.where(F.col("label") == y).withColumn("o", F.xxhash64("doc_id")).orderBy("o", "doc_id").limit(examples).select("doc_id", "label") for y in (0, 1)]
     sample = F.broadcast(ranked[0].unionByName(ranked[1]))  # 2 * examples rows
     texts = docs.select("doc_id", "text").join(sample, "doc_id").groupBy(F.xxhash64("text").alias("body")).agg(F.min(F.struct("doc_id", "label", "text")).alias("x")).select("x.doc_id", "x.label", "x.text")
@@ -173,13 +178,18 @@ def fit(docs: DataFrame, labelled: DataFrame, examples: int = EXAMPLES, terms: i
     bare = materialize(texts.select("doc_id", "label"), "examples")
     seen = bare.select("doc_id", "label").collect()
     total, toxic = len(seen), sum(r["label"] for r in seen)
-    base = toxic / total if total else 0.0
+    # Each class counts as often as among all labels, however many of it were drawn.
+    drawn = {y: min(examples, all_labels.get(y, 0)) for y in (0, 1)}
+    share = {y: all_labels.get(y, 0) / drawn[y] if drawn[y] else 1.0 for y in (0, 1)}
+    mass = share[0] * (total - toxic) + share[1] * toxic
+    base = share[1] * toxic / mass if total else 0.0
+    weights = tuple(share[y] * total / mass if total else 1.0 for y in (0, 1))
     if not 0 < toxic < total:
         return Model({}, [], np.empty(0), [], base, base)
     n, pos = F.lit(float(total)), F.lit(float(toxic))
     both = found.groupBy("term").agg(F.sum(F.col("label")).alias("a"), F.count(F.lit(1)).alias("df"))
     chi = n * F.pow(F.col("a") * n - F.col("df") * pos, 2) / (pos * (n - pos) * F.col("df") * F.greatest(n - F.col("df"), F.lit(0.5)))
-    chosen = both.withColumn("chi", chi).where((F.col("chi") >= CHI_SQUARE) & (F.col("df") >= LEAST_DOCS) & (F.col("a") >= F.col("df") * min(LIFT * base, (1 + base) / 2))).orderBy(F.col("chi").desc(), "term").limit(terms)
+    chosen = both.withColumn("chi", chi).where((F.col("chi") >= CHI_SQUARE) & (F.col("df") >= LEAST_DOCS) & (F.col("a") * weights[1] >= (F.col("a") * weights[1] + (F.col("df") - F.col("a")) * weights[0]) * min(LIFT * base, (1 + base) / 2))).orderBy(F.col("chi").desc(), "term").limit(terms)
     vocabulary = {r["term"]: r["df"] for r in chosen.collect()}
     idf = {t: math.log((1 + total) / (1 + d)) + 1 for t, d in vocabulary.items()}
     if not idf:
@@ -188,7 +198,7 @@ def fit(docs: DataFrame, labelled: DataFrame, examples: int = EXAMPLES, terms: i
     plain = Model(idf, [], np.empty(0), [], base, base)
     with_terms = {r["id"] for r in kept}
     rest = [r["label"] for r in seen if r["doc_id"] not in with_terms]
-    model = Model(idf, [r["id"] for r in kept], np.array([r["label"] for r in kept]), [plain.vector({x["term"]: x["n"] for x in r["terms"]}) for r in kept], (sum(rest) + base) / (len(rest) + 1), base)
+    model = Model(idf, [r["id"] for r in kept], np.array([r["label"] for r in kept]), [plain.vector({x["term"]: x["n"] for x in r["terms"]}) for r in kept], (sum(weights[1] for y in rest if y) + base) / (sum(weights[y] for y in rest) + 1), base, weights=weights)
     model.calibrate()
     return model
 
@@ -198,7 +208,7 @@ _MODELS: dict[str, Model] = {}
 
 def score_texts(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score and evidence (ids of the nearest examples, nearest first) of every row of docs(doc_id, text, ...)."""
-    state = (model.idf, model.ids, model.labels.tolist(), model.vectors, model.bare, model.base, model.slope, model.shift)
+    state = (model.idf, model.ids, model.labels.tolist(), model.vectors, model.bare, model.base, model.slope, model.shift, model.weights)
     shared = docs.sparkSession.sparkContext.broadcast((hashlib.sha256(repr(state).encode()).hexdigest(), state))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
