@@ -1,37 +1,44 @@
 """Toxicity by the nearest labelled examples under TF-IDF cosine.
 
 Learning: a bounded sample of labelled rows (EXAMPLES of each class, those with
-the smallest hashes; each distinct text once; both weighted by the class's count among all labels) gives document frequencies per
-class. Terms that stand in toxic examples LIFT times as often as examples are
-toxic, significantly so (chi-square), are the vocabulary, TERMS at most. The examples' TF-IDF vectors over it form an inverted
-index in blocks of BLOCK examples with the largest impact of each term per
-block.
-
-Scoring: a text's K nearest examples are exact: blocks are visited by falling
-upper bound (the sum of the terms' block maxima times the text's weights) until
-no block can beat the K-th best. The votes are weighted by similarity, shrunk
-towards the base rate, and mapped to a probability by a logistic curve fitted on
-the examples' own leave-one-out votes. The neighbours are returned as evidence.
-A text without vocabulary terms has no neighbours; its score is the share of
-toxic ones among such examples.
-
-Only the sample's terms reach the driver; the model is broadcast and rows don't
-move while scored. Labels, languages, sources and ids are no inputs of a score.
-
-Defined results: null and empty texts score like texts without vocabulary terms;
-null labels are no examples; of several labels of one document the largest
-holds; with no toxic or no other example every score is the base rate (0 without
-any labels); similarities that tie rank by the example's place in the index.
+the smallest hashes; each distinct text once). Every word of every example, toxic
+or not, is a term. A term's weight in a text is (1 + ln count) * idf * relevance:
+relevance is the term's chi-square against the label over what chance gives the
+best of as many terms (2 ln of their number), and 1 where that is less, so no
+term is left out or weighs less than its TF-IDF. The examples' unit vectors form an
+inverted index in blocks of BLOCK examples, with the largest weight of each term in
+each block, as flat arrays.
+
+Scoring: a text's K nearest examples are exact. The bound of a block is the sum of
+its terms' largest weights times the text's; the FIRST blocks by falling bound give
+a K-th best similarity, and then every other block whose bound reaches it is
+scored. The votes are weighted by similarity and by class, so that each class
+counts as often as among all labels, shrunk towards the base rate, and mapped to a
+probability by a logistic curve fitted on CALIBRATION examples' own leave-one-out
+votes. The neighbours are returned as evidence.
+
+Only the sample reaches the driver; the model is broadcast and rows don't move
+while scored. Labels, languages, sources and ids are no inputs of a score.
+
+Defined results: null and empty texts, and texts that share no word with any
+example, have no neighbours and score the base rate (0 without any labels); so does
+every text if there is no toxic or no other example. Null labels are no
+examples; of several labels of one document the largest holds; of several texts
+of one document that with the smallest hash; of equal texts with different labels
+that of the smallest document. Similarities that tie rank by the example's place
+in the index. Repeated rows stay repeated.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -42,14 +49,14 @@ from .common import materialize, table
 
 #: Labelled rows of each class that are learned from, at most.
 EXAMPLES = 3000
-#: Vocabulary terms at most, and the least chi-square and document count of one.
-TERMS, CHI_SQUARE, LEAST_DOCS = 2000, 15.0, 3
-#: How many times the base rate a term's share of toxic examples must be; words of a language that is toxic more often aren't terms.
-LIFT = 3.0
-K, BLOCK = 25, 64
+#: Examples whose leave-one-out votes fit the logistic curve, at most; they are spread evenly over the index.
+CALIBRATION = 1000
+#: Neighbours of a text, examples of a block, and blocks that are scored first.
+K, BLOCK, FIRST = 25, 64, 8
+#: Most frequent terms, whose lists are kept as dense rows, and texts that are multiplied with them at a time.
+DENSE, TOGETHER = 512, 64
 #: Votes of the base rate against the neighbours' similarities.
-PRIOR = 0.5
-MEMO = 100_000
+PRIOR = 0.1
 
 _WORDS = re.compile(r"\w+").findall
 
@@ -58,149 +65,220 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
+def counted(text: str | None) -> Counter:
+    """The words of a text and how often it has them."""
+    return Counter(_WORDS((text or "").lower()))
+
+
+def _ranges(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """low[0], ..., high[0] - 1, low[1], ..., high[1] - 1, and so on."""
+    n = high - low
+    ends = np.cumsum(n)
+    return np.repeat(low - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)
+
+
+class Index:
+    """Unit vectors by term. The DENSE most frequent terms have a row of weights over all examples; the others have postings by block.
+
+    Cell c holds the postings low[c]:low[c + 1] of one term in one block; a term's cells are cells[t]:cells[t + 1].
+    """
+
+    def __init__(self, terms: list[str], weight: np.ndarray, unseen: float, counts: list[Counter]):
+        self.ids = dict(zip(terms, range(len(terms))))
+        self.weight, self.unseen, self.n = weight, unseen, len(counts)
+        self.blocks = -(-self.n // BLOCK)
+        vectors = [self.vector(c) for c in counts]
+        term = np.concatenate([t for t, _ in vectors] or [np.empty(0, np.int64)])
+        at = np.repeat(np.arange(self.n), [len(t) for t, _ in vectors])
+        value = np.concatenate([w for _, w in vectors] or [np.empty(0)])
+        frequent = np.sort(np.argsort(-np.bincount(term, minlength=len(terms)), kind="stable")[:DENSE])
+        self.row = np.full(len(terms), -1)
+        self.row[frequent] = np.arange(len(frequent))
+        self.dense = np.zeros((len(frequent), self.blocks * BLOCK))
+        is_dense = self.row[term] >= 0
+        self.dense[self.row[term[is_dense]], at[is_dense]] = value[is_dense]
+        term, at, value = term[~is_dense], at[~is_dense], value[~is_dense]
+        order = np.argsort(term, kind="stable")
+        term, self.at, self.value = term[order], at[order], value[order]
+        block = self.at // BLOCK
+        new = np.ones(len(term), dtype=bool)
+        new[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
+        first = np.flatnonzero(new)
+        self.low = np.append(first, len(term))
+        self.block = block[first]
+        self.most = np.maximum.reduceat(self.value, first) if len(first) else np.empty(0)
+        self.cells = np.searchsorted(term[first], np.arange(len(terms) + 1))
+
+    def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
+        """Terms and weights of a text, as parts of its unit vector; words that no example has count in its length."""
+        n = len(counts)
+        term = np.fromiter(map(self.ids.get, counts.keys(), repeat(-1)), np.int64, n)
+        tf = 1 + np.log(np.fromiter(counts.values(), np.float64, n))
+        known = term >= 0
+        w = tf * np.where(known, self.weight[term] if len(self.weight) else 0.0, self.unseen)
+        norm = math.sqrt(float(w @ w))
+        term, w = term[known], w[known]
+        order = np.argsort(term)
+        return term[order], w[order] / (norm or 1.0)
+
+    def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int = K, without: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of each vector the k examples most similar to it, exactly, nearest first, and their similarities; ``without`` names an example of each to leave out."""
+        queries = np.zeros((len(vectors), len(self.dense)))
+        rare = []
+        for q, (term, w) in zip(queries, vectors):
+            row = self.row[term]
+            q[row[row >= 0]] = w[row >= 0]
+            rare.append((term[row < 0], w[row < 0]))
+        score = queries @ self.dense
+        most = score.reshape(len(vectors), self.blocks, BLOCK).max(axis=2) if self.n else score
+        return [self._nearest(*rare[i], score[i], most[i], k, without[i] if without else -1) for i in range(len(vectors))]
+
+    def _nearest(self, term: np.ndarray, w: np.ndarray, score: np.ndarray, most: np.ndarray, k: int, without: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k best, given what the frequent terms add to each example, and at most to one of each block."""
+        low, high = self.cells[term], self.cells[term + 1]
+        cells, weights = _ranges(low, high), np.repeat(w, high - low)
+        block = self.block[cells]
+        bound = most + np.bincount(block, weights=weights * self.most[cells], minlength=self.blocks)
+        scored = np.zeros(self.blocks, dtype=bool)
+        out = np.zeros(len(score))
+        wanted = scored.copy()
+        wanted[np.argsort(-bound, kind="stable")[:FIRST]] = True
+        for _ in range(2):
+            c = cells[wanted[block]]
+            a, b = self.low[c], self.low[c + 1]
+            p = _ranges(a, b)
+            added = np.bincount(self.at[p], weights=np.repeat(weights[wanted[block]], b - a) * self.value[p], minlength=len(score))
+            here = np.repeat(wanted, BLOCK)
+            out[here] = np.round(score[here] + added[here], 12)
+            if without >= 0:
+                out[without] = 0.0
+            scored |= wanted
+            least = np.partition(out, -k)[-k] if len(out) >= k else 0.0
+            wanted = ~scored & (bound > 0) & (bound >= least - 1e-9)
+            if not wanted.any():
+                break
+        found = np.flatnonzero(out > 0)
+        if len(found) > k:
+            found = found[out[found] >= np.partition(out[found], -k)[-k]]
+        found = found[np.argsort(-out[found], kind="stable")][:k]
+        return found, out[found]
+
+
 @dataclass
 class Model:
-    idf: dict[str, float]
+    index: Index
     ids: list
     labels: np.ndarray
-    vectors: list[dict[str, float]]
-    bare: float
     base: float
-    slope: float = 1.0
-    shift: float = 0.0
     #: What an example of class 0 and 1 counts for: its class's share of all labels over its share of the sample.
     weights: tuple[float, float] = (1.0, 1.0)
-    memo: dict = field(default_factory=dict)
-
-    def __post_init__(self) -> None:
-        n = len(self.vectors)
-        self.n_blocks = -(-n // BLOCK)
-        found: dict[str, list[tuple[int, float]]] = {}
-        for i, v in enumerate(self.vectors):
-            for t, w in v.items():
-                found.setdefault(t, []).append((i, w))
-        # Per term: the examples, their weights, where each block begins, and the largest weight of each block.
-        self.postings = {}
-        for t, p in found.items():
-            at, w = np.array([x[0] for x in p]), np.array([x[1] for x in p])
-            starts = np.searchsorted(at, np.arange(self.n_blocks + 1) * BLOCK)
-            most = np.zeros(self.n_blocks)
-            np.maximum.at(most, at // BLOCK, w)
-            self.postings[t] = (at, w, starts, most)
-
-    def vector(self, counts: dict[str, int]) -> dict[str, float]:
-        v = {t: (1 + math.log(n)) * self.idf[t] for t, n in counts.items() if t in self.idf}
-        norm = math.sqrt(sum(w * w for w in v.values()))
-        return {t: w / norm for t, w in sorted(v.items())}
-
-    def nearest(self, v: dict[str, float], k: int = K, without: int = -1) -> list[tuple[float, int]]:
-        """The k examples most similar to v, exactly; ``without`` leaves one out."""
-        bound = np.zeros(self.n_blocks)
-        lists = [(w, *self.postings[t]) for t, w in v.items() if t in self.postings]
-        for w, _, _, _, most in lists:
-            bound += w * most
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(best) == k and bound[b] < best[-1][0] - 1e-12:
-                break
-            score = np.zeros(BLOCK)
-            for w, at, weights, starts, _ in lists:
-                lo, hi = starts[b], starts[b + 1]
-                if lo == hi:
-                    continue
-                score[at[lo:hi] - b * BLOCK] += w * weights[lo:hi]
-            best += [(float(score[i]), b * BLOCK + i) for i in np.flatnonzero(score).tolist() if b * BLOCK + i != without]
-            best = sorted(best, key=lambda x: (-round(x[0], 12), x[1]))[:k]
-        return best
-
-    def vote(self, near: list[tuple[float, int]]) -> float:
-        votes = [(s * self.weights[self.labels[i]], self.labels[i]) for s, i in near]
-        return (sum(s * y for s, y in votes) + PRIOR * self.base) / (sum(s for s, _ in votes) + PRIOR)
+    slope: float = 1.0
+    shift: float = 0.0
+
+    def vote(self, near: np.ndarray, similarity: np.ndarray) -> float:
+        y = self.labels[near]
+        s = similarity * np.where(y == 1, self.weights[1], self.weights[0])
+        return float(((s * y).sum() + PRIOR * self.base) / (s.sum() + PRIOR))
 
     def curve(self, vote: float) -> float:
         vote = min(max(vote, 1e-6), 1 - 1e-6)
         return 1 / (1 + math.exp(-(self.slope * math.log(vote / (1 - vote)) + self.shift)))
 
-    def calibrate(self) -> None:
+    def calibrate(self, counts: list[Counter]) -> None:
         """Fits slope and shift on leave-one-out votes by Newton's method, held near 1 and 0 by one pseudo-observation."""
-        if len(self.vectors) < 20:
+        n = len(counts)
+        if n < 20 or not 0 < self.labels.sum() < n:
             return
-        step = max(1, len(self.vectors) // 1000)
-        chosen = range(0, len(self.vectors), step)
-        votes = np.clip([self.vote(self.nearest(self.vectors[i], without=i)) for i in chosen], 1e-6, 1 - 1e-6)
-        x, y = np.log(votes / (1 - votes)), np.array([self.labels[i] for i in chosen], float)
-        c = np.array([self.weights[self.labels[i]] for i in chosen])
+        chosen = np.linspace(0, n - 1, min(n, CALIBRATION)).astype(int).tolist()
+        parts = [chosen[i : i + TOGETHER] for i in range(0, len(chosen), TOGETHER)]
+        votes = np.clip([self.vote(*x) for part in parts for x in self.index.nearest([self.index.vector(counts[i]) for i in part], without=part)], 1e-6, 1 - 1e-6)
+        x, y = np.log(votes / (1 - votes)), self.labels[chosen].astype(float)
+        c = np.where(y == 1, self.weights[1], self.weights[0])
         a, b = 1.0, 0.0
         for _ in range(25):
             p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
             w = c * p * (1 - p)
             g = np.array([(c * (p - y) * x).sum() + (a - 1), (c * (p - y)).sum() + b])
             h = np.array([[(w * x * x).sum() + 1, (w * x).sum()], [(w * x).sum(), w.sum() + 1]])
-            step_ = np.linalg.solve(h, g)
-            a, b = a - step_[0], b - step_[1]
-            if abs(step_).max() < 1e-9:
+            step = np.linalg.solve(h, g)
+            a, b = a - step[0], b - step[1]
+            if abs(step).max() < 1e-9:
                 break
         self.slope, self.shift = float(np.clip(a, 0.2, 5)), float(np.clip(b, -5, 5))
 
-    def score(self, text: str) -> tuple[float, list]:
-        """The score of a text and the ids of its nearest examples."""
-        words = _WORDS(text.lower())
-        hit = self.idf.keys() & words if words else ()
-        if not hit:
-            return self.bare, []
-        counts = Counter(w for w in words if w in hit)
-        key = tuple(sorted(counts.items()))
-        if key not in self.memo:
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            near = self.nearest(self.vector(counts))
-            self.memo[key] = (self.curve(self.vote(near)) if near else self.bare, [self.ids[i] for _, i in near])
-        return self.memo[key]
-
-
-def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def score(self, texts: list[str | None]) -> list[tuple[float, list]]:
+        """The score of each text and the ids of its nearest examples."""
+        out = []
+        for i in range(0, len(texts), TOGETHER):
+            part = texts[i : i + TOGETHER]
+            if not self.index.n:
+                out += [(self.base, []) for _ in part]
+                continue
+            for near, similarity in self.index.nearest([self.index.vector(counted(t)) for t in part]):
+                out.append((self.curve(self.vote(near, similarity)), [self.ids[j] for j in near.tolist()]) if len(near) else (self.base, []))
+        return out
+
+
+def term_weights(counts: list[Counter], labels: np.ndarray, relevant: bool = True) -> tuple[list[str], np.ndarray, float]:
+    """The terms of the examples, idf times relevance of each, and the weight of a word that no example has; plain idf if not ``relevant``."""
+    n, toxic = len(counts), int(labels.sum())
+    both: Counter = Counter()
+    bad: Counter = Counter()
+    for c, y in zip(counts, labels.tolist()):
+        both.update(c.keys())
+        if y:
+            bad.update(c.keys())
+    terms = sorted(both)
+    df = np.array([both[t] for t in terms], float)
+    weight = np.log((1 + n) / (1 + df)) + 1
+    if relevant and 0 < toxic < n:
+        a = np.array([bad[t] for t in terms], float)
+        chi = n * (a * n - df * toxic) ** 2 / (toxic * (n - toxic) * df * np.maximum(n - df, 0.5))
+        weight *= np.maximum(1.0, chi / (2 * math.log(max(2, len(terms)))))
+    return terms, weight, math.log(1 + n) + 1
+
+
+def model_of(ids: list, labels: np.ndarray, counts: list[Counter], all_labels: dict[int, int] | None = None, relevant: bool = True) -> Model:
+    """A model of examples; all_labels has the number of labels of each class, that of the examples if not given."""
+    n, toxic = len(ids), int(labels.sum())
+    whole = {y: max((all_labels or {}).get(y, 0), k) for y, k in ((0, n - toxic), (1, toxic))}
+    total = whole[0] + whole[1]
+    base = whole[1] / total if total else 0.0
+    if not 0 < toxic < n:
+        return Model(Index([], np.empty(0), 1.0, []), [], np.empty(0, int), base)
+    # Examples of like length stand together, which makes the blocks' largest weights tell more.
+    order = sorted(range(n), key=lambda i: (len(counts[i]), i))
+    ids, labels, counts = [ids[i] for i in order], labels[order], [counts[i] for i in order]
+    terms, weight, unseen = term_weights(counts, labels, relevant)
+    shares = (whole[0] / total * n / (n - toxic), whole[1] / total * n / toxic)
+    model = Model(Index(terms, weight, unseen, counts), ids, labels, base, shares)
+    model.calibrate(counts)
+    return model
+
+
+def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = [(i, t, n) for i, text in enumerate(b.column(2).to_pylist()) for t, n in Counter(_WORDS((text or "").lower())).items()]
-        at = pa.array([r[0] for r in rows], pa.int64())
-        yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], names=["id", "label", "term", "n"])
+        found = [counted(t) for t in b.column(3).to_pylist()]
+        terms, n = pa.array([list(c) for c in found], pa.list_(pa.string())), pa.array([list(c.values()) for c in found], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([*b.columns[:3], terms, n], names=["doc_id", "body", "label", "terms", "n"])
 
 
-def fit(docs: DataFrame, labelled: DataFrame, examples: int = EXAMPLES, terms: int = TERMS) -> Model:
+def fit(docs: DataFrame, labelled: DataFrame, examples: int = EXAMPLES, relevant: bool = True) -> Model:
     """A model from docs(doc_id, text) and labelled(doc_id, label 0 or 1)."""
     rows = labelled.where(F.col("label").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
     rows = materialize(rows, "labels")
     all_labels = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
-    ranked = [rows.where(F.col("label") == y).withColumn("o", F.xxhash64("doc_id")).orderBy("o", "doc_id").limit(examples).select("doc_id", "label") for y in (0, 1)]
-    sample = F.broadcast(ranked[0].unionByName(ranked[1]))  # 2 * examples rows
-    texts = docs.select("doc_id", "text").join(sample, "doc_id").groupBy(F.xxhash64("text").alias("body")).agg(F.min(F.struct("doc_id", "label", "text")).alias("x")).select("x.doc_id", "x.label", "x.text")
+    drawn = [rows.where(F.col("label") == y).withColumn("o", F.xxhash64("doc_id")).orderBy("o", "doc_id").limit(examples).select("doc_id", "label") for y in (0, 1)]
+    sample = F.broadcast(drawn[0].unionByName(drawn[1]))  # 2 * examples rows
+    # One text of each document, so the sample stays as small whatever ids repeat.
+    texts = docs.select("doc_id", "text").join(sample, "doc_id").groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("body"), "text")).alias("x"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = materialize(texts.mapInArrow(_terms, f"id {kind}, label int, term string, n long"), "terms")
-    bare = materialize(texts.select("doc_id", "label"), "examples")
-    seen = bare.select("doc_id", "label").collect()
-    total, toxic = len(seen), sum(r["label"] for r in seen)
-    # Each class counts as often as among all labels, however many of it were drawn.
-    drawn = {y: min(examples, all_labels.get(y, 0)) for y in (0, 1)}
-    share = {y: all_labels.get(y, 0) / drawn[y] if drawn[y] else 1.0 for y in (0, 1)}
-    mass = share[0] * (total - toxic) + share[1] * toxic
-    base = share[1] * toxic / mass if total else 0.0
-    weights = tuple(share[y] * total / mass if total else 1.0 for y in (0, 1))
-    if not 0 < toxic < total:
-        return Model({}, [], np.empty(0), [], base, base)
-    n, pos = F.lit(float(total)), F.lit(float(toxic))
-    both = found.groupBy("term").agg(F.sum(F.col("label")).alias("a"), F.count(F.lit(1)).alias("df"))
-    chi = n * F.pow(F.col("a") * n - F.col("df") * pos, 2) / (pos * (n - pos) * F.col("df") * F.greatest(n - F.col("df"), F.lit(0.5)))
-    chosen = both.withColumn("chi", chi).where((F.col("chi") >= CHI_SQUARE) & (F.col("df") >= LEAST_DOCS) & (F.col("a") * weights[1] >= (F.col("a") * weights[1] + (F.col("df") - F.col("a")) * weights[0]) * min(LIFT * base, (1 + base) / 2))).orderBy(F.col("chi").desc(), "term").limit(terms)
-    vocabulary = {r["term"]: r["df"] for r in chosen.collect()}
-    idf = {t: math.log((1 + total) / (1 + d)) + 1 for t, d in vocabulary.items()}
-    if not idf:
-        return Model({}, [], np.empty(0), [], base, base)
-    kept = found.where(F.col("term").isin(list(vocabulary))).groupBy("id", "label").agg(F.collect_list(F.struct("term", "n")).alias("terms")).orderBy("id").collect()
-    plain = Model(idf, [], np.empty(0), [], base, base)
-    with_terms = {r["id"] for r in kept}
-    rest = [r["label"] for r in seen if r["doc_id"] not in with_terms]
-    model = Model(idf, [r["id"] for r in kept], np.array([r["label"] for r in kept]), [plain.vector({x["term"]: x["n"] for x in r["terms"]}) for r in kept], (sum(weights[1] for y in rest if y) + base) / (sum(weights[y] for y in rest) + 1), base, weights=weights)
-    model.calibrate()
-    return model
+    found = texts.select("doc_id", "x.body", "label", "x.text").mapInArrow(_examples, f"doc_id {kind}, body long, label int, terms array<string>, n array<long>").toArrow().sort_by("doc_id")
+    seen: dict[int, tuple] = {}
+    for doc_id, body, label, terms, n in zip(*(c.to_pylist() for c in found.columns)):
+        if terms:
+            seen.setdefault(body, (doc_id, label, Counter(dict(zip(terms, n)))))
+    return model_of([x[0] for x in seen.values()], np.array([x[1] for x in seen.values()], int), [x[2] for x in seen.values()], all_labels, relevant)
 
 
 _MODELS: dict[str, Model] = {}
@@ -208,17 +286,17 @@ _MODELS: dict[str, Model] = {}
 
 def score_texts(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score and evidence (ids of the nearest examples, nearest first) of every row of docs(doc_id, text, ...)."""
-    state = (model.idf, model.ids, model.labels.tolist(), model.vectors, model.bare, model.base, model.slope, model.shift, model.weights)
-    shared = docs.sparkSession.sparkContext.broadcast((hashlib.sha256(repr(state).encode()).hexdigest(), state))
+    state = pickle.dumps(model)
+    shared = docs.sparkSession.sparkContext.broadcast((hashlib.sha256(state).hexdigest(), state))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest, s = shared.value
+        digest, state = shared.value
         if digest not in _MODELS:
             _MODELS.clear()
-            _MODELS[digest] = Model(s[0], s[1], np.array(s[2]), *s[3:])
+            _MODELS[digest] = pickle.loads(state)
         model = _MODELS[digest]
         for b in batches:
-            found = [model.score(t or "") for t in b.column(1).to_pylist()]
+            found = model.score(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.list_(b.column(0).type))], names=["doc_id", "score", "evidence"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()

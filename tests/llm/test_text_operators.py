@@ -41,42 +41,6 @@ def test_every_operator_takes_odd_rows_empty_tables_and_extra_columns(spark):
     assert decontaminate.drop_contaminated(d, bench.limit(0)).count() == 2 * len(ODD)
 
 
-# ---- toxicity
-
-
-def test_nearest_is_exact_and_learns(spark):
-    r = random.Random(1)
-    words = [f"w{i}" for i in range(60)]
-    bad = ["vile", "scum", "rot"]
-    texts, labels = [], []
-    for i in range(300):
-        toxic = i % 5 == 0
-        texts.append(" ".join(r.sample(words, 15) + (r.sample(bad, 2) if toxic else [])))
-        labels.append((i, int(toxic)))
-    d = docs(spark, texts)
-    model = toxicity.fit(d, spark.createDataFrame(labels, "doc_id long, label int"))
-    assert set(bad) <= set(model.idf)
-    for text in texts[:40]:
-        v = model.vector({w: 1 for w in text.split() if w in model.idf}) if set(text.split()) & set(model.idf) else {}
-        brute = sorted(((sum(w * x.get(t, 0) for t, w in v.items()), i) for i, x in enumerate(model.vectors)), key=lambda p: (-round(p[0], 12), p[1]))
-        brute = [p for p in brute if p[0] > 0][: toxicity.K]
-        near = model.nearest(v) if v else []
-        assert [i for _, i in near] == [i for _, i in brute]
-    scored = {r["doc_id"]: r for r in toxicity.score_texts(d, model).collect()}
-    assert all((scored[i]["score"] >= 0.5) == bool(y) for i, y in labels)
-    assert scored[0]["evidence"] and all(0 <= r["score"] <= 1 for r in scored.values())
-
-
-def test_toxicity_of_held_out_rows(spark):
-    d = "/root/testdata/sf0.1"
-    got = {r["doc_id"]: r for r in toxicity.op1_toxicity(spark, d).collect()}
-    labels = [(r["doc_id"], r["toxic"]) for r in spark.read.parquet(f"{d}/labels.parquet").collect()]
-    held = [(got[i]["score"], y) for i, y in labels if got[i]["held_out"]]
-    up, down = [s for s, y in held if y], [s for s, y in held if not y]
-    assert np.mean([(a > b) + 0.5 * (a == b) for a in up for b in down]) > 0.9
-    assert len(got) == 10000
-
-
 # ---- personal data
 
 BASE = {
