@@ -83,16 +83,17 @@ class Index:
     Cell c holds the postings low[c]:low[c + 1] of one term in one block; a term's cells are cells[t]:cells[t + 1].
     """
 
-    def __init__(self, terms: list[str], weight: np.ndarray, unseen: float, counts: list[Counter]):
-        self.ids = dict(zip(terms, range(len(terms))))
-        self.weight, self.unseen, self.n = weight, unseen, len(counts)
+    def __init__(self, ids: dict[str, int], weight: np.ndarray, unseen: float, examples: list[tuple[np.ndarray, np.ndarray]]):
+        """ids has the terms, examples the terms and counts of each."""
+        self.ids, self.weight, self.unseen, self.n = ids, weight, unseen, len(examples)
         self.blocks = -(-self.n // BLOCK)
-        vectors = [self.vector(c) for c in counts]
-        term = np.concatenate([t for t, _ in vectors] or [np.empty(0, np.int64)])
-        at = np.repeat(np.arange(self.n), [len(t) for t, _ in vectors])
+        vectors = [self.unit(t, n) for t, n in examples]
+        term = np.concatenate([t for t, _ in vectors] or [np.empty(0, np.int32)])
+        at = np.repeat(np.arange(self.n, dtype=np.int32), [len(t) for t, _ in vectors])
         value = np.concatenate([w for _, w in vectors] or [np.empty(0)])
-        frequent = np.sort(np.argsort(-np.bincount(term, minlength=len(terms)), kind="stable")[:DENSE])
-        self.row = np.full(len(terms), -1)
+        del vectors
+        frequent = np.sort(np.argsort(-np.bincount(term, minlength=len(ids)), kind="stable")[:DENSE])
+        self.row = np.full(len(ids), -1, dtype=np.int32)
         self.row[frequent] = np.arange(len(frequent))
         self.dense = np.zeros((len(frequent), self.blocks * BLOCK))
         is_dense = self.row[term] >= 0
@@ -107,15 +108,17 @@ class Index:
         self.low = np.append(first, len(term))
         self.block = block[first]
         self.most = np.maximum.reduceat(self.value, first) if len(first) else np.empty(0)
-        self.cells = np.searchsorted(term[first], np.arange(len(terms) + 1))
+        self.cells = np.searchsorted(term[first], np.arange(len(ids) + 1))
 
     def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
         """Terms and weights of a text, as parts of its unit vector; words that no example has count in its length."""
         n = len(counts)
-        term = np.fromiter(map(self.ids.get, counts.keys(), repeat(-1)), np.int64, n)
-        tf = 1 + np.log(np.fromiter(counts.values(), np.float64, n))
+        return self.unit(np.fromiter(map(self.ids.get, counts.keys(), repeat(-1)), np.int32, n), np.fromiter(counts.values(), np.float64, n))
+
+    def unit(self, term: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The terms in order with their weights; -1 is a word that no example has."""
         known = term >= 0
-        w = tf * np.where(known, self.weight[term] if len(self.weight) else 0.0, self.unseen)
+        w = (1 + np.log(counts)) * np.where(known, self.weight[term] if len(self.weight) else 0.0, self.unseen)
         norm = math.sqrt(float(w @ w))
         term, w = term[known], w[known]
         order = np.argsort(term)
@@ -184,14 +187,14 @@ class Model:
         vote = min(max(vote, 1e-6), 1 - 1e-6)
         return 1 / (1 + math.exp(-(self.slope * math.log(vote / (1 - vote)) + self.shift)))
 
-    def calibrate(self, counts: list[Counter]) -> None:
+    def calibrate(self, examples: list[tuple[np.ndarray, np.ndarray]]) -> None:
         """Fits slope and shift on leave-one-out votes by Newton's method, held near 1 and 0 by one pseudo-observation."""
-        n = len(counts)
+        n = len(examples)
         if n < 20 or not 0 < self.labels.sum() < n:
             return
         chosen = np.linspace(0, n - 1, min(n, CALIBRATION)).astype(int).tolist()
         parts = [chosen[i : i + TOGETHER] for i in range(0, len(chosen), TOGETHER)]
-        votes = np.clip([self.vote(*x) for part in parts for x in self.index.nearest([self.index.vector(counts[i]) for i in part], without=part)], 1e-6, 1 - 1e-6)
+        votes = np.clip([self.vote(*x) for part in parts for x in self.index.nearest([self.index.unit(*examples[i]) for i in part], without=part)], 1e-6, 1 - 1e-6)
         x, y = np.log(votes / (1 - votes)), self.labels[chosen].astype(float)
         c = np.where(y == 1, self.weights[1], self.weights[0])
         a, b = 1.0, 0.0
@@ -219,40 +222,34 @@ class Model:
         return out
 
 
-def term_weights(counts: list[Counter], labels: np.ndarray, relevant: bool = True) -> tuple[list[str], np.ndarray, float]:
-    """The terms of the examples, idf times relevance of each, and the weight of a word that no example has; plain idf if not ``relevant``."""
-    n, toxic = len(counts), int(labels.sum())
-    both: Counter = Counter()
-    bad: Counter = Counter()
-    for c, y in zip(counts, labels.tolist()):
-        both.update(c.keys())
-        if y:
-            bad.update(c.keys())
-    terms = sorted(both)
-    df = np.array([both[t] for t in terms], float)
+def term_weights(terms: int, examples: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, relevant: bool = True) -> tuple[np.ndarray, float]:
+    """idf times relevance of each of so many terms, and the weight of a word that no example has; plain idf if not ``relevant``."""
+    n, toxic = len(examples), int(labels.sum())
+    count = lambda y: np.bincount(np.concatenate([t for (t, _), x in zip(examples, labels.tolist()) if x == y] or [np.empty(0, np.int32)]), minlength=terms).astype(float)
+    a = count(1)
+    df = a + count(0)
     weight = np.log((1 + n) / (1 + df)) + 1
     if relevant and 0 < toxic < n:
-        a = np.array([bad[t] for t in terms], float)
         chi = n * (a * n - df * toxic) ** 2 / (toxic * (n - toxic) * df * np.maximum(n - df, 0.5))
-        weight *= np.maximum(1.0, chi / (2 * math.log(max(2, len(terms)))))
-    return terms, weight, math.log(1 + n) + 1
+        weight *= np.maximum(1.0, chi / (2 * math.log(max(2, terms))))
+    return weight, math.log(1 + n) + 1
 
 
-def model_of(ids: list, labels: np.ndarray, counts: list[Counter], all_labels: dict[int, int] | None = None, relevant: bool = True) -> Model:
-    """A model of examples; all_labels has the number of labels of each class, that of the examples if not given."""
+def model_of(ids: list, labels: np.ndarray, terms: dict[str, int], examples: list[tuple[np.ndarray, np.ndarray]], all_labels: dict[int, int] | None = None, relevant: bool = True) -> Model:
+    """A model of examples, given as terms and counts; all_labels has the number of labels of each class, that of the examples if not given."""
     n, toxic = len(ids), int(labels.sum())
     whole = {y: max((all_labels or {}).get(y, 0), k) for y, k in ((0, n - toxic), (1, toxic))}
     total = whole[0] + whole[1]
     base = whole[1] / total if total else 0.0
     if not 0 < toxic < n:
-        return Model(Index([], np.empty(0), 1.0, []), [], np.empty(0, int), base)
+        return Model(Index({}, np.empty(0), 1.0, []), [], np.empty(0, int), base)
     # Examples of like length stand together, which makes the blocks' largest weights tell more.
-    order = sorted(range(n), key=lambda i: (len(counts[i]), i))
-    ids, labels, counts = [ids[i] for i in order], labels[order], [counts[i] for i in order]
-    terms, weight, unseen = term_weights(counts, labels, relevant)
+    order = sorted(range(n), key=lambda i: (len(examples[i][0]), i))
+    ids, labels, examples = [ids[i] for i in order], labels[order], [examples[i] for i in order]
+    weight, unseen = term_weights(len(terms), examples, labels, relevant)
     shares = (whole[0] / total * n / (n - toxic), whole[1] / total * n / toxic)
-    model = Model(Index(terms, weight, unseen, counts), ids, labels, base, shares)
-    model.calibrate(counts)
+    model = Model(Index(terms, weight, unseen, examples), ids, labels, base, shares)
+    model.calibrate(examples)
     return model
 
 
@@ -274,11 +271,16 @@ def fit(docs: DataFrame, labelled: DataFrame, examples: int = EXAMPLES, relevant
     texts = docs.select("doc_id", "text").join(sample, "doc_id").groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("body"), "text")).alias("x"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     found = texts.select("doc_id", "x.body", "label", "x.text").mapInArrow(_examples, f"doc_id {kind}, body long, label int, terms array<string>, n array<long>").toArrow().sort_by("doc_id")
-    seen: dict[int, tuple] = {}
-    for doc_id, body, label, terms, n in zip(*(c.to_pylist() for c in found.columns)):
-        if terms:
-            seen.setdefault(body, (doc_id, label, Counter(dict(zip(terms, n)))))
-    return model_of([x[0] for x in seen.values()], np.array([x[1] for x in seen.values()], int), [x[2] for x in seen.values()], all_labels, relevant)
+    ids, labels, vocabulary, rows, seen = [], [], {}, [], set()
+    for b in found.to_batches(max_chunksize=64):  # strings of a few examples at a time
+        for doc_id, body, label, terms, n in zip(*(c.to_pylist() for c in b.columns)):
+            if terms and body not in seen:
+                seen.add(body)
+                ids.append(doc_id)
+                labels.append(label)
+                rows.append((np.fromiter((vocabulary.setdefault(t, len(vocabulary)) for t in terms), np.int32, len(terms)), np.array(n, np.float64)))
+    del found
+    return model_of(ids, np.array(labels, int), vocabulary, rows, all_labels, relevant)
 
 
 _MODELS: dict[str, Model] = {}
