@@ -12,13 +12,17 @@ rule that the stack goes back to, so the top at a key is the last marker before
 it: one window function, no join of all pairs.
 
 Only DataFrame functions run here. A suffix with many urls is dealt over as many
-salted copies as its size asks for; its rules go to each copy. Each distinct url
-is judged once; urls get their verdicts by an equi-join that Spark may split.
+salted copies as its size asks for, by an exchange on suffix and salt; its rules go
+to each copy. Each distinct url is judged once; urls get their verdicts by an
+equi-join that Spark may split. The table of suffixes is broadcast while there are
+at most MAX_MARKS markers, else joined by a shuffle.
 
 Defined results: null urls and urls without ``://`` have an empty host and path
 and fit no rule; repeated rows stay repeated; an empty rule table gives every
 url the default verdict; of rules with equal host and path the smallest verdict
-in text order holds.
+in text order holds; rules with a null host or path fit nothing; an empty table
+stays empty; columns of pages named like those added are replaced, others may have
+any name.
 """
 
 from __future__ import annotations
@@ -26,10 +30,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialize, table
 
 #: Urls of one suffix that share a window at most, unless the suffix has more rules than that.
 ROWS_PER_SALT = 1024
+#: Interval markers up to which their suffixes are broadcast.
+MAX_MARKS = 100_000
 
 #: The rules of the registered query (fixed values): host, path, verdict.
 RULES = [
@@ -41,12 +47,16 @@ RULES = [
 ]
 
 
+def _lower(text: Column) -> Column:
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def host_of(url: Column) -> Column:
     """After the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; empty without ``://``."""
     at = F.locate("://", url)
     rest = F.when(at > 0, url.substr(at + F.lit(3), F.length(url)))
     host = F.regexp_extract(F.coalesce(rest, F.lit("")), r"\A[^/?#]*", 0)
-    return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return _lower(host)
 
 
 def path_of(url: Column) -> Column:
@@ -62,10 +72,11 @@ def _reversed(host: Column) -> Column:
 
 def _markers(rules: DataFrame) -> DataFrame:
     """Start and end of each rule's interval: suffix, key, kind, top (the rule on top of the stack from here on)."""
-    r = rules.select(
-        _reversed(F.lower("host")).alias("suffix"),
+    host = _lower(F.col("host"))
+    r = rules.where(F.col("host").isNotNull() & F.col("path").isNotNull()).select(
+        _reversed(host).alias("suffix"),
         F.col("path").alias("key"),
-        F.struct(F.concat(F.lower("host"), F.col("path")).alias("rule"), F.col("verdict").alias("verdict")).alias("own"),
+        F.struct(F.concat(host, F.col("path")).alias("rule"), F.col("verdict").alias("verdict")).alias("own"),
     )
     r = r.groupBy("suffix", "key").agg(F.min("own").alias("own"))
     # The enclosing rule: the longest proper prefix of the path that is itself a rule of the suffix.
@@ -83,46 +94,48 @@ def _markers(rules: DataFrame) -> DataFrame:
     return starts.unionByName(ends)
 
 
-def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
+def sweep(keyed: DataFrame, marks: DataFrame, sizes: DataFrame) -> DataFrame:
+    """url and mark of each row of keyed(suffix, url, key) that has a rule on top; sizes has the salts of each suffix."""
+    mark = marks.schema["mark"].dataType
+    urls = keyed.join(sizes, "suffix").select("suffix", F.pmod(F.xxhash64("url"), F.col("salts")).cast("int").alias("salt"), "key", F.lit(2).alias("kind"), F.lit(0).alias("depth"), "url", F.lit(None).cast(mark).alias("mark"))
+    dealt = marks.join(sizes, "suffix").select("suffix", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "key", "kind", "depth", F.lit(None).cast("string").alias("url"), "mark")
+    order = Window.partitionBy("suffix", "salt").orderBy("key", "kind", "depth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = urls.unionByName(dealt).repartition("suffix", "salt")
+    return both.withColumn("mark", F.last("mark", ignorenulls=True).over(order)).where((F.col("kind") == 2) & F.col("mark.top").isNotNull()).select("url", "mark")
+
+
+def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", rows_per_salt: int = ROWS_PER_SALT, max_marks: int = MAX_MARKS) -> DataFrame:
     """Adds host, path, rule and verdict to pages(url, ...); rules has host, path and verdict.
 
-    Of the rules that fit, the one with the longest host and path wins. Columns
-    of pages named like those added are replaced.
+    Of the rules that fit, the one with the longest host and path wins.
     """
-    marks = _markers(rules)
-    urls = pages.select("url").where(F.locate("://", F.col("url")) > 0).distinct()
-    labels = F.split(host_of(F.col("url")), r"\.")
-    n = F.size(labels)
-    keyed = urls.select("url", path_of(F.col("url")).alias("key"), F.reverse(labels).alias("labels"))
-    keyed = keyed.select("url", "key", F.explode(F.transform(F.sequence(F.lit(1), F.size("labels")), lambda i: F.concat(F.array_join(F.slice("labels", 1, i), "."), F.lit(".")))).alias("suffix"))
-    with_rules = marks.groupBy("suffix").agg(F.count(F.lit(1)).alias("marks"))
-    keyed = keyed.join(with_rules.select("suffix"), "suffix", "left_semi")
-    sizes = keyed.groupBy("suffix").agg(F.count(F.lit(1)).alias("urls")).join(with_rules, "suffix")
-    sizes = sizes.select("suffix", F.ceil(F.col("urls") / F.greatest(F.col("marks"), F.lit(rows_per_salt))).cast("int").alias("salts"))
-    salted = keyed.join(sizes, "suffix").select("suffix", F.pmod(F.xxhash64("url"), F.col("salts")).cast("int").alias("salt"), "key", F.lit(2).alias("kind"), F.lit(0).alias("depth"), "url", F.lit(None).cast(marks.schema["mark"].dataType).alias("mark"))
-    dealt = marks.join(sizes, "suffix").select("suffix", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "key", "kind", "depth", F.lit(None).cast("string").alias("url"), "mark")
-    sweep = Window.partitionBy("suffix", "salt").orderBy("key", "kind", "depth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = (
-        salted.unionByName(dealt)
-        .withColumn("mark", F.last("mark", ignorenulls=True).over(sweep))
-        .where((F.col("kind") == 2) & F.col("mark.top").isNotNull())
-        .groupBy("url")
-        .agg(F.max(F.struct(F.length("mark.top.rule").alias("n"), F.col("mark.top.rule").alias("rule"), F.col("mark.top.verdict").alias("verdict"))).alias("_best"))
-    )
     added = {"host", "path", "rule", "verdict"}
-    kept = pages.select([F.col(f"`{c}`") for c in pages.columns if c.lower() not in added])
-    return kept.join(found.withColumnRenamed("url", "_url"), F.col("url") == F.col("_url"), "left").select(
-        *[F.col(f"`{c}`") for c in kept.columns],
-        host_of(F.col("url")).alias("host"),
-        path_of(F.col("url")).alias("path"),
-        F.col("_best.rule").alias("rule"),
-        F.coalesce("_best.verdict", F.lit(default)).alias("verdict"),
+    rows = pages.select(F.col("url").alias("_u"), F.struct(*[F.col(f"`{c}`") for c in pages.columns if c.lower() not in added]).alias("_page"))
+    marks = materialize(_markers(rules), "marks")
+    small = F.broadcast if marks.count() <= max_marks else lambda x: x
+    with_rules = marks.groupBy("suffix").agg(F.count(F.lit(1)).alias("marks"))
+    urls = rows.select(F.col("_u").alias("url")).where(F.locate("://", F.col("url")) > 0).distinct()
+    keyed = urls.select("url", path_of(F.col("url")).alias("key"), F.reverse(F.split(host_of(F.col("url")), r"\.")).alias("labels"))
+    suffixes = F.transform(F.sequence(F.lit(1), F.size("labels")), lambda i: F.concat(F.array_join(F.slice("labels", 1, i), "."), F.lit(".")))
+    keyed = keyed.select("url", "key", F.explode(suffixes).alias("suffix")).join(small(with_rules.select("suffix")), "suffix", "left_semi")
+    keyed = materialize(keyed, "urls")
+    sizes = keyed.groupBy("suffix").agg(F.count(F.lit(1)).alias("urls")).join(small(with_rules), "suffix")
+    sizes = materialize(sizes.select("suffix", F.ceil(F.col("urls") / F.greatest(F.col("marks"), F.lit(rows_per_salt))).cast("int").alias("salts")), "sizes")
+    best = F.max(F.struct(F.length("mark.top.rule").alias("n"), F.col("mark.top.rule").alias("rule"), F.col("mark.top.verdict").alias("verdict")))
+    # As a table of its own, so that the join below may be split where one url has many rows.
+    found = materialize(sweep(keyed, marks, small(sizes)).groupBy("url").agg(best.alias("best")), "verdicts")
+    return rows.join(found, F.col("_u") == F.col("url"), "left").select(
+        "_page.*",
+        host_of(F.col("_u")).alias("host"),
+        path_of(F.col("_u")).alias("path"),
+        F.col("best.rule").alias("rule"),
+        F.coalesce("best.verdict", F.lit(default)).alias("verdict"),
     )
 
 
 def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict for the url of every page: page_id, host, path, rule, verdict."""
-    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    rules = spark.sql("SELECT * FROM VALUES " + ", ".join(map(str, RULES)) + " AS t(host, path, verdict)")
     judged = judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
     return judged.select("page_id", F.coalesce("host", F.lit("")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "rule", "verdict")
 
