@@ -1,25 +1,38 @@
 """Main text of web pages by wrappers inferred from pages of the same host.
 
-Every page becomes a stream of blocks, each named by its path of block elements.
-A wrapper is a union-free regular expression over such names: a sequence of
-items that may be optional ``?`` or repeated ``+``, items being a name or a group of
-names. Streams of one host are aligned one after another: what matches stays,
-what only one side has becomes optional, what stands twice in a row becomes a
-repeated group. Each item keeps how many pages had it, how much text stood in it
-and whether that text varied: items with varying text are slots, the others are
+Every page becomes a stream of blocks, each named by its path of block elements
+with their class. A wrapper is a union-free regular expression over such names: a
+sequence of items that may be optional ``?`` or repeated ``+``, items being a name or
+a group of names. Streams of one host are aligned one after another: what matches
+stays, what only one side has becomes optional, what stands twice in a row becomes
+a repeated group. Each item keeps how many pages had it, how much text stood in
+it and whether that text varied: items with varying text are slots, the others are
 template.
 
-Streams are first made union-free within their page and counted per host, so a
-host with a third of all pages sends one row per distinct layout and task.
-Layouts of one host are merged in a tree of bounded groups; merging is
-repeatable on its own results. The slots' container with article markup, or else
-with the most varying text, is the host's region. Pages get their host's region
-by a join that Spark may split (or a broadcast below MAX_HOSTS) and return all
-blocks inside it but those in navigation, forms, adverts and the like.
+A host's wrapper decides what is main text on all its pages:
+
+* its region is the deepest container that holds MASS of the slots' text. Markup is
+  one feature of that mass: items in menus, forms, adverts and the like have none,
+  links count little, headings and article markup count more;
+* a text is template if it stands in one item on at least SHARE of the host's
+  pages and on PAGES of them, told apart by their longest block, so that copies of
+  one article don't make its text template.
+
+A page's text is what stands in the region, without the template and without what
+is marked as menu, form, advert and the like.
+
+Streams are counted per host and layout before they move, so a host with a third
+of all pages sends one row per distinct layout and batch. Layouts of one host are
+merged in a tree of bounded groups; merging is repeatable on its own results. Block
+texts are counted by 64-bit hashes, partly before the shuffle. Pages get their host's
+wrapper by a join that Spark may split (or a broadcast below MAX_HOSTS hosts and
+MAX_TEMPLATE texts). Pages are parsed twice, which moves less than writing them.
 
 Defined results: null html has no text; null urls are pages of one unnamed host;
 a page without anything in its host's region uses its own; pages are read whole,
-unclosed tags included; repeated rows stay repeated.
+unclosed tags included; a quote that opens an attribute and isn't closed before a
+blank, ``/`` or ``>`` is no quote; repeated rows stay repeated; an empty table gives
+an empty table.
 """
 
 from __future__ import annotations
@@ -30,6 +43,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from typing import NamedTuple
 
 import pandas as pd
 import pyarrow as pa
@@ -40,10 +54,14 @@ from pyspark.sql import functions as F
 from .common import materialize, table
 from .url_rules import host_of
 
-#: Layouts that one task aligns, and hosts whose regions are broadcast, at most.
-GROUP, MAX_HOSTS = 256, 50_000
-#: Longest group of names that is tried as a repeated group.
-SQUARE = 4
+#: Layouts that one task aligns, and hosts and template texts that are broadcast, at most.
+GROUP, MAX_HOSTS, MAX_TEMPLATE = 64, 50_000, 500_000
+#: Longest group of names that is tried as a repeated group, and elements of a path; what stands deeper is named by the outer ones.
+SQUARE, DEPTH = 4, 64
+#: Share of the slots' text that a region holds.
+MASS = 0.9
+#: Share of a host's pages, and number of them, from which on a text is template.
+SHARE, PAGES = 0.5, 5
 
 # Element classes of HTML (fixed values).
 BLOCKS = frozenset(
@@ -57,71 +75,111 @@ WORDS_DROPPED = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies footer header menu menus modal nav navbar navigation "
     "newsletter notice notices popup promo promotion related respond reply replies share sharing sidebar signup social sponsor sponsored subscribe toolbar widget widgets".split()
 )
+#: Words that say nothing about what an element is; a class of such words and at least one of WORDS_DROPPED is dropped.
+WORDS_PLAIN = frozenset("area bar block bottom box container content group inner item items left links list main outer page pages right row section site slot top unit wrap wrapper".split())
 CLOSES_P = BLOCKS - {"body", "button", "head", "html", "title"}
 CLOSED_BY = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th"}
 SCOPES = frozenset("ul ol dl table body div section article td th blockquote".split())
+CONTAINERS = frozenset("body main article section div td center".split())
+HEADINGS = frozenset("h1 h2 h3".split())
+ARTICLES = ("article", "main")
 
-_TOKEN = re.compile(r"<!--(?:.*?-->|.*)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|[^<]+|<", re.S)
+_TOKEN = re.compile(
+    r"""<!--(?:.*?-->|.*)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"(?=[\s/>])|'[^']*'(?=[\s/>])|[^'">])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^<>]*)>?|[^<]+|<""", re.S
+)
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PARTS = re.compile(r"[a-z]+")
 
 
-def _dropped(tag: str, attributes: str, inside_article: bool) -> bool:
-    if tag in DROPPED or tag == "header" and not inside_article:
-        return True
-    if attributes and tag not in ("html", "body", "article", "main"):
-        for m in _NAMED.finditer(attributes):
-            if not WORDS_DROPPED.isdisjoint(_PARTS.findall((m[1] or m[2] or m[3] or "").lower())):
-                return True
+class Block(NamedTuple):
+    path: str
+    text: str
+    dropped: bool
+    links: int  #: characters inside links
+
+
+class Open(NamedTuple):
+    tag: str
+    dropped: bool  #: it or one around it is
+    path: str
+    article: bool
+    link: bool
+
+
+def _words(attributes: str) -> list[str]:
+    """The class, id and role tokens of an element, in lower case."""
+    return [t for m in _NAMED.finditer(attributes) for t in (m[1] or m[2] or m[3] or "").lower().split()]
+
+
+def _marked(tokens: list[str]) -> bool:
+    """Whether a token consists of words for menus, adverts and the like, and of words that say nothing."""
+    for t in tokens:
+        parts = set(_PARTS.findall(t))
+        if parts & WORDS_DROPPED and parts <= WORDS_DROPPED | WORDS_PLAIN:
+            return True
     return False
 
 
-def blocks(page: str) -> list[tuple[str, str, bool]]:
-    """(path, text, dropped) of each block of a page that has text, in page order."""
-    out: list[tuple[str, str, bool]] = []
-    stack: list[tuple[str, bool]] = []  # element, whether it or one around it is dropped
+def blocks(page: str) -> list[Block]:
+    """Each block of a page that has text, in page order."""
+    out: list[Block] = []
+    stack = [Open("", False, "", False, False)]
+    open_tags: Counter = Counter()
     text: list[str] = []
+    links = 0
 
     def flush() -> None:
+        nonlocal links
         if text:
             words = " ".join(html.unescape("".join(text)).split())
             text.clear()
             if words:
-                out.append(("/".join(t for t, _ in stack if t in BLOCKS), words, bool(stack) and stack[-1][1]))
+                out.append(Block(stack[-1].path, words, stack[-1].dropped, links))
+        links = 0
+
+    def last(tag: str) -> int:
+        return next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0) if open_tags[tag] else 0
 
     def close(index: int) -> None:
         flush()
+        open_tags.subtract(x.tag for x in stack[index:])
         del stack[index:]
 
     at, n = 0, len(page)
     while at < n:
         m = _TOKEN.match(page, at)
         at = m.end()
-        tag = m[2]
+        tag = m[2] or m[5]
         if tag is None:
             if m[0][0] != "<" or m[0] == "<":
                 text.append(m[0])
+                if stack[-1].link:
+                    links += len(m[0])
             continue
-        tag = tag.lower()
-        if m[1]:
-            index = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
-            if index >= 0:
-                close(index) if tag in BLOCKS else stack.pop(index)
+        tag, attributes = tag.lower(), m[3] or m[6] or ""
+        if m[1] or m[4]:
+            index = last(tag)
+            if index:
+                if tag in BLOCKS:
+                    close(index)
+                else:
+                    open_tags[tag] -= 1
+                    gone = stack.pop(index)
+                    if gone.link:
+                        stack[index:] = [x._replace(link=stack[index - 1].link) for x in stack[index:]]
             elif tag == "p":
                 flush()
             continue
         if tag in BLOCKS:
             flush()
-            if tag in CLOSES_P:
-                index = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p"), -1)
-                if index >= 0:
-                    close(index)
+            if tag in CLOSES_P and (index := last("p")):
+                close(index)
             if tag in CLOSED_BY:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in CLOSED_BY[tag].split():
+                for i in range(len(stack) - 1, 0, -1):
+                    if stack[i].tag in CLOSED_BY[tag].split():
                         close(i)
                         break
-                    if stack[i][0] in SCOPES and stack[i][0] not in ("td", "th"):
+                    if stack[i].tag in SCOPES and stack[i].tag not in ("td", "th"):
                         break
         elif tag == "br":
             text.append(" ")
@@ -131,17 +189,23 @@ def blocks(page: str) -> list[tuple[str, str, bool]]:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
             at = end.end() if end else n
             continue
-        if m[3].endswith("/") and tag not in BLOCKS:
+        if attributes.endswith("/") and tag not in BLOCKS:
             continue
-        inside = any(t in ("article", "main") for t, _ in stack)
-        stack.append((tag, bool(stack) and stack[-1][1] or _dropped(tag, m[3], inside)))
-        if len(stack) > 2000:  # absurdly deep pages keep their innermost place
-            del stack[1000]
+        up = stack[-1]
+        named = tag in BLOCKS and attributes and tag not in ("html", "body", "article", "main")
+        tokens = _words(attributes) if attributes and tag not in ("html", "body", "article", "main") else []
+        path = up.path
+        if tag in BLOCKS and path.count("/") < DEPTH:
+            name = tag + ("." + "".join(c for c in tokens[0] if not c.isdigit() and c != "/") if named and tokens else "")
+            path = f"{path}/{name}" if path else name
+        dropped = up.dropped or tag in DROPPED or tag == "header" and not up.article or _marked(tokens)
+        stack.append(Open(tag, dropped, path, up.article or tag in ARTICLES, up.link or tag == "a"))
+        open_tags[tag] += 1
     flush()
     return out
 
 
-# ---- wrappers: lists of items [names, optional, repeated, pages, characters, varies, text hash]
+# ---- wrappers: lists of items [names, optional, repeated, pages, mass, varies, text hash]
 
 
 def collapse(items: list[list]) -> list[list]:
@@ -184,9 +248,21 @@ def align(a: list[list], b: list[list]) -> list[list]:
     return collapse(out)
 
 
-def stream(found: list[tuple[str, str, bool]]) -> list[list]:
+def _tag(name: str) -> str:
+    return name.partition(".")[0]
+
+
+def mass(b: Block) -> int:
+    """What a block counts for as main text: its characters outside links, more in headings and article markup."""
+    if b.dropped:
+        return 0
+    parts = [_tag(x) for x in b.path.split("/")]
+    return max(0, len(b.text) - b.links) * (5 if parts[-1] in HEADINGS else 1) * (3 if any(x in ARTICLES for x in parts) else 1)
+
+
+def stream(found: list[Block]) -> list[list]:
     """A page's own wrapper; dropped blocks are marked by a leading minus."""
-    return collapse([[["-" * bad + path], False, False, 1, len(text), False, xxhash.xxh32_intdigest(text)] for path, text, bad in found])
+    return collapse([[["-" * b.dropped + b.path], False, False, 1, mass(b), False, xxhash.xxh32_intdigest(b.text)] for b in found])
 
 
 def pattern(wrapper: list[list]) -> str:
@@ -195,75 +271,118 @@ def pattern(wrapper: list[list]) -> str:
 
 
 def region(wrapper: list[list]) -> str:
-    """The path under which the main text stands."""
-    mass: Counter = Counter()
-    for names, _, _, _, chars, varies, _ in wrapper:
+    """The path of the deepest container that holds MASS of the slots' text, of all text if there are no slots.
+
+    From article markup on, a region is written by that mark alone (``//article``), as
+    the path above it differs between pages with their end tags.
+    """
+    slots = [x for x in wrapper if x[5]] or wrapper
+    held: Counter = Counter()
+    total = 0.0
+    for names, _, _, _, weight, _, _ in slots:
         for name in names:
-            if not name.startswith("-"):
-                parts = name.split("/")
-                for mark in ("article", "main"):
-                    if mark in parts:
-                        mass["/".join(parts[: parts.index(mark) + 1])] += (chars + 1) * 1_000_000
-                        break
-                else:
-                    mass["/".join(parts[:-1])] += chars * (2 if varies else 1)
-    return min(mass, key=lambda p: (-mass[p], p)) if mass else ""
-
-
-def main_text(page: str, where: str | None) -> str:
-    """The blocks of a page inside the region, or inside its own if there are none."""
-    found = blocks(page)
-    inside = lambda r: [text for path, text, bad in found if not bad and (not r or path == r or path.startswith(r + "/"))]
-    # The path above an article may differ between a host's pages, as end tags do; its own mark counts.
-    articles = [text for path, text, bad in found if not bad and not {"article", "main"}.isdisjoint(path.split("/"))]
-    kept = articles or (inside(where) if where is not None else [])
-    if not kept:
-        kept = inside(region(stream(found)))
+            if name.startswith("-"):
+                continue
+            share = weight / len(names)
+            total += share
+            parts = name.split("/")
+            mark = next((i for i, p in enumerate(parts) if _tag(p) in ARTICLES), None)
+            for i in range(1, len(parts) if mark is None else mark + 1):
+                if _tag(parts[i - 1]) in CONTAINERS:
+                    held["/".join(parts[:i])] += share
+            if mark is not None:
+                held["//" + _tag(parts[mark])] += share
+    best = [p for p, m in held.items() if m >= MASS * total]
+    depth = lambda p: 10_000 if p.startswith("//") else p.count("/")
+    return min(best, key=lambda p: (-depth(p), p)) if best and total else ""
+
+
+def inside(path: str, where: str) -> bool:
+    if where.startswith("//"):
+        return any(_tag(p) == where[2:] for p in path.split("/"))
+    return not where or path == where or path.startswith(where + "/")
+
+
+def text_key(b: Block) -> int:
+    """A block's place and text as a signed 64-bit integer."""
+    return xxhash.xxh64_intdigest(f"{b.path}\x00{b.text}".encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def main_text(page: str, where: str | None, template: set[int] | frozenset[int] = frozenset()) -> str:
+    """The blocks of a page inside its host's region that aren't template, or inside its own region if there are none."""
+    found = [b for b in blocks(page)]
+    live = [b for b in found if not b.dropped and not (template and text_key(b) in template)]
+    kept = [b.text for b in live if inside(b.path, where)] if where is not None else []
+    if not kept and live:
+        own = region(stream(live))
+        kept = [b.text for b in live if inside(b.path, own)]
     return "\n".join(kept)
 
 
-def infer_wrappers(pages: DataFrame) -> DataFrame:
-    """host, wrapper (json), pattern and region of every host of pages(url, html)."""
+_MEASURED = "host string, layout string, pages long, mass array<long>, hashes array<long>, varies array<boolean>, texts array<struct<key:bigint,main:bigint>>"
+
+
+def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per host, layout and batch: pages, mass and text hash of each item, and each block's text with its page's longest block."""
+    for b in batches:
+        sums: dict[tuple[str, str], list] = {}
+        for host, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            found = blocks(page or "")
+            items = stream(found)
+            key = (host or "", json.dumps([[x[0], x[2]] for x in items]))
+            live = [x for x in found if not x.dropped]
+            longest = text_key(max(live, key=lambda x: len(x.text))) if live else 0
+            texts = {(text_key(x), longest) for x in live}
+            old = sums.get(key)
+            if old is None:
+                sums[key] = [1, [x[4] for x in items], [x[6] for x in items], [x[5] for x in items], texts]
+            else:
+                old[0] += 1
+                old[1] = [a + x[4] for a, x in zip(old[1], items)]
+                old[3] = [v or x[5] or h != x[6] for v, h, x in zip(old[3], old[2], items)]
+                old[4] |= texts
+        rows = [(h, k, *s[:4], [{"key": x, "main": y} for x, y in sorted(s[4])]) for (h, k), s in sums.items()]
+        part = list(zip(*rows)) or [()] * 7
+        kinds = [pa.string(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.struct([("key", pa.int64()), ("main", pa.int64())]))]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(part, kinds)], names=["host", "layout", "pages", "mass", "hashes", "varies", "texts"])
+
+
+def measure(pages: DataFrame) -> DataFrame:
+    """The layouts and block texts of pages(url, html), counted per host; a table in the shared folder."""
+    hosts = pages.select(F.coalesce(host_of(F.col("url")), F.lit("")).alias("host"), "html")
+    return materialize(hosts.mapInArrow(_measured, _MEASURED), "layouts")
 
-    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One row per host, layout and batch: pages, and characters and text hash of each item."""
-        for b in batches:
-            sums: dict[tuple[str, str], list] = {}
-            for host, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                items = stream(blocks(page or ""))
-                key = (host or "", json.dumps([[x[0], x[2]] for x in items]))
-                old = sums.get(key)
-                if old is None:
-                    sums[key] = [1, [x[4] for x in items], [x[6] for x in items], [x[5] for x in items]]
-                else:
-                    old[0] += 1
-                    old[1] = [a + x[4] for a, x in zip(old[1], items)]
-                    old[3] = [v or x[5] or h != x[6] for v, h, x in zip(old[3], old[2], items)]
-            rows = [(h, k, s[0], *s[1:]) for (h, k), s in sums.items()]
-            part = list(zip(*rows)) or [()] * 6
-            kinds = [pa.string(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.bool_())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(part, kinds)], names=["host", "layout", "pages", "chars", "hashes", "varies"])
 
-    hosts = pages.select(F.coalesce(host_of(F.col("url")), F.lit("")).alias("host"), "html")
-    found = hosts.mapInArrow(measured, "host string, layout string, pages long, chars array<long>, hashes array<long>, varies array<boolean>")
+def templates(measured: DataFrame, share: float = SHARE, pages: int = PAGES) -> DataFrame:
+    """host and the keys of its template texts, of hosts that have any. A host has as many of them as its pages have blocks, over share, at most."""
+    once = measured.select("host", F.explode("texts").alias("x")).groupBy("host", "x.key", "x.main").agg(F.count(F.lit(1)).alias("_"))
+    seen = once.groupBy("host", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= pages)
+    # A page's longest block is the one whose key is the page's own.
+    sizes = once.where(F.col("key") == F.col("main")).groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    found = seen.join(sizes, "host").where(F.col("n") >= share * F.col("pages"))
+    return found.groupBy("host").agg(F.sort_array(F.collect_list("key")).alias("template"))
+
+
+def infer_wrappers(measured: DataFrame) -> DataFrame:
+    """host, wrapper (json), pattern and region of every host of measure()'s table."""
     # Rows of one layout differ in numbers only; sums are made before and behind the shuffle.
-    at = F.posexplode(F.arrays_zip("chars", "hashes", "varies")).alias("i", "x")
-    items = found.select("host", F.xxhash64("layout").alias("key"), "layout", "pages", at)
+    at = F.posexplode(F.arrays_zip("mass", "hashes", "varies")).alias("i", "x")
+    items = measured.select("host", F.xxhash64("layout").alias("key"), "layout", "pages", at)
     summed = items.groupBy("host", "key", "layout", "i").agg(
-        F.sum("pages").alias("pages"), F.sum("x.chars").alias("chars"), F.min("x.hashes").alias("low"), F.max("x.hashes").alias("high"), F.max("x.varies").alias("varies")
+        F.sum("pages").alias("pages"), F.sum("x.mass").alias("mass"), F.min("x.hashes").alias("low"), F.max("x.hashes").alias("high"), F.max("x.varies").alias("varies")
     )
     whole = summed.groupBy("host", "key", "layout").agg(
-        F.max("pages").alias("pages"), F.array_sort(F.collect_list(F.struct("i", "chars", (F.col("varies") | (F.col("low") != F.col("high"))).alias("varies"), "low"))).alias("items")
+        F.max("pages").alias("pages"), F.array_sort(F.collect_list(F.struct("i", "mass", (F.col("varies") | (F.col("low") != F.col("high"))).alias("varies"), "low"))).alias("items")
     )
 
     def as_wrappers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for layout, n, items in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
-                out.append(json.dumps([[names, False, repeated, n, x["chars"], x["varies"], x["low"]] for (names, repeated), x in zip(json.loads(layout), items)]))
+                out.append(json.dumps([[names, False, repeated, n, x["mass"], x["varies"], x["low"]] for (names, repeated), x in zip(json.loads(layout), items)]))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=["host", "wrapper"])
 
-    wrappers = materialize(whole.select("host", "layout", "pages", "items").mapInArrow(as_wrappers, "host string, wrapper string"), "layouts")
+    wrappers = materialize(whole.select("host", "layout", "pages", "items").mapInArrow(as_wrappers, "host string, wrapper string"), "wrappers")
 
     def merged(rows: pd.DataFrame) -> pd.DataFrame:
         got: list[list] | None = None
@@ -289,17 +408,22 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
 
 def extract(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """key, url, text and n_chars of every row of pages(key, url, html, ...)."""
-    regions = materialize(infer_wrappers(pages).select(F.col("host").alias("_host"), F.col("region").alias("_region")), "regions")
-    if regions.count() <= MAX_HOSTS:
-        regions = F.broadcast(regions)
-    joined = pages.select(key, "url", "html", F.coalesce(host_of(F.col("url")), F.lit("")).alias("_h")).join(regions, F.col("_h") == F.col("_host"), "left")
+    measured = measure(pages)
+    wrappers = infer_wrappers(measured).select(F.col("host").alias("_host"), F.col("region").alias("_region"))
+    wrappers = materialize(wrappers.join(templates(measured), F.col("_host") == F.col("host"), "left").select("_host", "_region", F.col("template").alias("_template")), "regions")
+    size = wrappers.agg(F.count(F.lit(1)), F.sum(F.size(F.coalesce("_template", F.array())))).first()
+    if size[0] <= MAX_HOSTS and (size[1] or 0) <= MAX_TEMPLATE:
+        wrappers = F.broadcast(wrappers)
+    joined = pages.select(key, "url", "html", F.coalesce(host_of(F.col("url")), F.lit("")).alias("_h")).join(wrappers, F.col("_h") == F.col("_host"), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [main_text(p or "", r) for p, r in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            sets = {i: frozenset(t) for i, t in zip(b.column(4).to_pylist(), b.column(5).to_pylist())} if b.num_rows else {}
+            texts = [main_text(p or "", r, sets[h]) for p, r, h in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=[key, "url", "text", "n_chars"])
 
-    return joined.select(key, "url", "html", "_region").mapInArrow(run, f"{key} {pages.schema[key].dataType.simpleString()}, url string, text string, n_chars long")
+    template = F.coalesce("_template", F.array().cast("array<bigint>"))
+    return joined.select(key, "url", "html", "_region", "_h", template.alias("_t")).mapInArrow(run, f"`{key}` {pages.schema[key].dataType.simpleString()}, url string, text string, n_chars long")
 
 
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
