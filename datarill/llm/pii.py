@@ -92,8 +92,9 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 _TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|[^\s]")
 _TRIGGER = re.compile(r"[@0-9][@0-9.,:-]*|\bdot\b|[\[(](?:at|dot)[\])]")
-#: Characters on each side of a trigger that are tagged with it.
+#: Characters on each side of a trigger that are tagged with it, and then up to the second blank from there.
 AROUND = 40
+_BLANK = re.compile(r"\s")
 _CUES = frozenset("at dot mail email phone tel fax call ring mobile number card visa paid ip host server from version section the".split())  # fixed values
 _OFFSETS = (-2, -1, 0, 1, 2)
 
@@ -178,7 +179,7 @@ class Tagger:
 def read_examples(lines: list[str]) -> list[tuple[str, list[tuple[int, int, str]]]]:
     """Texts and their marked spans."""
     out = []
-    mark = re.compile(r"\[(email|ip|card|phone):((?:[^\[\]]|\[(?:at|dot)\])*)\]")
+    mark = re.compile(r"\[(email|ip|card|phone):((?:[^\[\]]|\[(?:at|dot|\.)\])*)\]")
     for line in lines:
         text, spans, last = "", [], 0
         for m in mark.finditer(line):
@@ -237,24 +238,39 @@ def train(lines: list[str] = EXAMPLES, epochs: int = 150, ridge: float = 0.02) -
 
 
 def segments(text: str) -> list[tuple[int, int]]:
-    """The parts of a text around its triggers, widened to blanks, apart from each other."""
+    """The parts of a text around its triggers, widened to blanks, apart from each other; no token is cut."""
     out: list[tuple[int, int]] = []
+    last = 0  # where the part before ends; nothing before it is looked at again
     for m in _TRIGGER.finditer(text):
-        a, b = max(0, m.start() - AROUND), min(len(text), m.end() + AROUND)
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        a, b = max(last, m.start() - AROUND), m.end() + AROUND
+        if b > last or not out:
+            for _ in range(2):  # to the end of the word, and then the next word
+                blank = _BLANK.search(text, b + 1) if b + 1 < len(text) else None
+                b = blank.start() if blank else len(text)
+        else:
+            b = last
+        for _ in range(2):
+            if a > last:
+                a = max(last, *(text.rfind(c, last, a - 1) + 1 for c in " \n\t\r"))
+        if out and a <= last:
+            out[-1] = (out[-1][0], b)
         else:
             out.append((a, b))
+        last = b
     return out
 
 
+#: Four numbers with dots that may be spelled out or bracketed.
+_ADDRESS = re.compile(r"[0-9]+(?:\s*(?:\.|[\[(]\.[\])]|[\[(]dot[\])]|\bdot\b)\s*[0-9]+){3}")
+
+
 def _plausible(kind: str, text: str) -> bool:
     d = _digits(text)
     if kind == "email":
         spelled = re.search(r"\bat\b", text) and re.search(r"\bdot\b", text)
         return bool("@" in text and "." in text or spelled) and text[0].isalnum() and text[-1].isalnum()
     if kind == "ip":
-        return re.fullmatch(r"[0-9]+(\.[0-9]+){3}", text) is not None and valid_ip(text)
+        return _ADDRESS.fullmatch(text) is not None and valid_ip(".".join(re.findall("[0-9]+", text)))
     if kind == "card":
         return valid_card(text) and re.fullmatch(r"[0-9][0-9 -]+[0-9]", text) is not None
     return 9 <= len(d) <= 15 and re.fullmatch(r"[+(]?[0-9][0-9 ().-]*[0-9]", text) is not None and not d.isspace() and bool(re.search(r"[ ().+-]", text)) and max(map(len, re.findall("[0-9]+", text))) <= 8

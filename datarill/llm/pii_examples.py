@@ -15,10 +15,18 @@ send it to [email:pat (at) example (dot) org] today
 use [email:r.roe [at] post.example [dot] net] instead
 please mail [email:team dot lead at example dot com]
 or ask [email:info @ example.com] about it
+[email:ann at mail dot example dot net] is the address
+she answers at [email:joe at news dot example dot com] now
+write to [email:desk [at] mail.example [dot] org] first
+ask [email:board (at) club.example (dot) org] for more
+[email:r_smith [at] example [dot] net] knows
 [email:sales@example.co.uk] and [email:help@example.de] answer
 Call [phone:+1 (743) 555-3824] after six
 phone [phone:(555) 010-4477] or come by
 ring [phone:555-010-9921] for details
+our number is [phone:415-555-0132] all day
+dial [phone:303-555-0164] until noon
+it is [phone:617-555-0150] or [phone:617.555.0151]
 tel: [phone:020 7946 0018] ext
 my number is [phone:+44 20 7946 0958] .
 call [phone:1-800-555-0199] now
@@ -31,6 +39,11 @@ host [ip:198.51.100.7] answered
 server [ip:203.0.113.250]:8080 was down
 the ip is [ip:10.0.0.12] .
 login from [ip:172.16.254.1], twice
+host [ip:192[.]0[.]2[.]61] is blocked
+traffic from [ip:198 dot 51 dot 100 dot 23] again
+ping [ip:203.0.113[.]9] please
+server [ip:10 [dot] 1 [dot] 2 [dot] 3] answered
+the address [ip:192 . 0 . 2 . 77] was used
 card [card:4111 1111 1111 1111] was charged
 paid by [card:5500-0000-0000-0004] yesterday
 number [card:4012888888881881] expires
