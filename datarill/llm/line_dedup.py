@@ -10,13 +10,16 @@ is boilerplate; it stays where it stands first (smallest doc_id, then position)
 and goes everywhere else.
 
 Only DataFrame functions run here. Lines go by two 64-bit hashes of their text;
-the text itself is not shuffled until the join that rebuilds it.
+the text itself is not shuffled until the join that rebuilds it. Candidates and
+boilerplate lines are sent to the lines while there are at most MAX_LINES of them,
+else joined by a shuffle that Spark may split.
 
 Defined results: null texts stay null and have no lines; lines without a word
 are never removed; a null site is one site; repeated rows (same doc_id and text)
 are treated alike; texts without any removed line come back unchanged; a text
 that loses all its lines becomes empty but its row stays; empty tables give
-empty tables.
+empty tables; columns named n_removed in any case are replaced, others may have any
+name.
 """
 
 from __future__ import annotations
@@ -34,6 +37,8 @@ LONG_SITES = 2
 #: log2 of the sketches' registers, and the estimates' distance from the threshold, as a share of it, within which sites are counted exactly.
 LG_K = 9
 NEAR = 0.25
+#: Lines whose hashes are broadcast, at most.
+MAX_LINES = 200_000
 
 
 def line_table(docs: DataFrame, site: str = "source") -> DataFrame:
@@ -56,7 +61,7 @@ def line_table(docs: DataFrame, site: str = "source") -> DataFrame:
     )
 
 
-def boilerplate(lines: DataFrame, short_sites: int = SHORT_SITES, long_sites: int = LONG_SITES) -> DataFrame:
+def boilerplate(lines: DataFrame, short_sites: int = SHORT_SITES, long_sites: int = LONG_SITES, max_lines: int = MAX_LINES) -> DataFrame:
     """a, b, sites and first (doc id, body, position) of each boilerplate line."""
     limit = F.when(F.col("long"), F.lit(long_sites)).otherwise(F.lit(short_sites))
     found = lines.groupBy("a", "b").agg(
@@ -68,9 +73,10 @@ def boilerplate(lines: DataFrame, short_sites: int = SHORT_SITES, long_sites: in
     # A line can't stand on more sites than it has occurrences.
     found = materialize(found.where((F.col("n") >= limit) & (F.col("estimate") >= limit * (1 - NEAR) - 0.5)), "lines")
     near = F.abs(F.col("estimate") - limit) <= F.greatest(limit * NEAR, F.lit(1.0))
-    # Pairs come first: a line that many texts share is down to one row per site and task before it moves.
-    pairs = lines.groupBy("a", "b", "site").agg(F.count(F.lit(1)).alias("_"))
-    exact = pairs.join(found.where(near).select("a", "b"), ["a", "b"], "left_semi").groupBy("a", "b").agg(F.count(F.lit(1)).alias("exact"))
+    candidates = found.where(near).select("a", "b")
+    # Down to the candidates first, then to one row per line and site in each task, before anything moves.
+    pairs = lines.join(_sent(candidates, max_lines), ["a", "b"], "left_semi").groupBy("a", "b", "site").agg(F.count(F.lit(1)).alias("_"))
+    exact = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("exact"))
     return (
         found.join(exact, ["a", "b"], "left")
         .withColumn("sites", F.coalesce("exact", "estimate"))
@@ -79,28 +85,34 @@ def boilerplate(lines: DataFrame, short_sites: int = SHORT_SITES, long_sites: in
     )
 
 
-def removals(docs: DataFrame, site: str = "source", short_sites: int = SHORT_SITES, long_sites: int = LONG_SITES) -> DataFrame:
+def _sent(lines: DataFrame, most: int) -> DataFrame:
+    """lines, marked for a broadcast if there are at most so many."""
+    return F.broadcast(lines) if lines.count() <= most else lines
+
+
+def removals(docs: DataFrame, site: str = "source", short_sites: int = SHORT_SITES, long_sites: int = LONG_SITES, max_lines: int = MAX_LINES) -> DataFrame:
     """id, body and the sorted positions of the lines to remove from each text that loses any."""
     lines = materialize(line_table(docs, site), "spread")
     # As a table of its own, so that the join below may be split where one line has many rows.
-    bad = materialize(boilerplate(lines, short_sites, long_sites), "boilerplate")
-    hit = lines.join(bad.select("a", "b", "first"), ["a", "b"])
+    bad = materialize(boilerplate(lines, short_sites, long_sites, max_lines), "boilerplate").select("a", "b", "first")
+    hit = lines.join(_sent(bad, max_lines), ["a", "b"])
     same = F.col("first").eqNullSafe(F.struct("id", "body", "pos"))
     return hit.where(~same).groupBy("id", "body").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, site: str = "source", short_sites: int = SHORT_SITES, long_sites: int = LONG_SITES) -> DataFrame:
+def dedup_lines(docs: DataFrame, site: str = "source", short_sites: int = SHORT_SITES, long_sites: int = LONG_SITES, max_lines: int = MAX_LINES) -> DataFrame:
     """docs(doc_id, text, site, ...) with boilerplate lines removed from text, and ``n_removed``."""
-    gone = removals(docs, site, short_sites, long_sites).select(F.col("id").alias("_id"), F.col("body").alias("_body"), F.col("gone").alias("_gone"))
-    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_body")), "left")
-    lines = F.split("text", "\n")
+    gone = removals(docs, site, short_sites, long_sites, max_lines)
+    # Whatever docs' columns are named, they stay inside a struct.
+    others = [c for c in docs.columns if c.lower() != "n_removed"]
+    rows = docs.select(F.col("doc_id").alias("_i"), F.col("text").alias("_t"), F.struct(*[F.col(f"`{c}`") for c in others if c.lower() != "text"]).alias("_doc"))
+    joined = rows.join(gone, F.col("_i").eqNullSafe(F.col("id")) & (F.xxhash64("_t") == F.col("body")), "left")
+    joined = joined.withColumn("lines", F.when(F.col("gone").isNotNull(), F.split("_t", "\n")))
     # By position: array_except on integers works by hashing, so a text of many lines takes linear time.
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(F.col("_lines"), i)), "\n"))
-    return (
-        joined.withColumn("_lines", F.when(F.col("_gone").isNotNull(), lines))
-        .select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c != "n_removed"], F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"))
-    )
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
+    text = F.when(F.col("gone").isNull(), F.col("_t")).otherwise(F.array_join(F.transform(left, lambda i: F.get(F.col("lines"), i)), "\n"))
+    kept = [text.alias(c) if c.lower() == "text" else F.col("_doc").getField(c).alias(c) for c in others]
+    return joined.select(*kept, F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

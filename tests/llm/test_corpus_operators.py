@@ -119,9 +119,12 @@ def test_line_dedup_matches_brute_force(spark):
     short = [f"short {i}" for i in range(6)] + ["", "  "]
     rows = [(i, "\n".join(r.choices(short, k=3) + r.choices(long, k=1) + [f"own line {i}"]), r.choice([None, *(f"s{k}" for k in range(9))])) for i in range(60)]
     rows += [(100, None, "s1"), (101, "", "s1"), (102, "\n\n", "s2"), (103, long[0] + "\n" + long[0], "s3")]
-    df = spark.createDataFrame([(i, t, s, 1) for i, t, s in rows], "doc_id long, text string, source string, N_REMOVED int").drop("N_REMOVED").withColumn("pos", F.lit(1)).withColumn("a", F.lit(2))
+    df = spark.createDataFrame([(i, t, s, 1) for i, t, s in rows], "doc_id long, text string, source string, N_REMOVED int").withColumn("pos", F.lit(1)).withColumn("a", F.lit(2)).withColumn("_lines", F.lit("x")).withColumn("_gone", F.lit(3)).withColumn("_id", F.lit(4))
     got = {x["doc_id"]: (x["text"], x["n_removed"]) for x in line_dedup.dedup_lines(df).collect()}
     assert got == brute_lines(rows)
+    found = line_dedup.dedup_lines(df, max_lines=0)  # by shuffles only
+    assert {x["doc_id"]: (x["text"], x["n_removed"]) for x in found.collect()} == got
+    assert found.columns == ["doc_id", "text", "source", "pos", "a", "_lines", "_gone", "_id", "n_removed"] and {(x["_lines"], x["_gone"], x["_id"]) for x in found.collect()} == {("x", 3, 4)}
     assert line_dedup.dedup_lines(df.unionByName(df)).count() == 2 * len(rows)
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
