@@ -207,7 +207,9 @@ def _share(spark: SparkSession, path: str):
 
 
 def _others(df: DataFrame, *added: str) -> list[str]:
-    return [c for c in df.columns if c not in added]
+    """The columns that stay; those named like an added one, in any case, are replaced."""
+    gone = {a.lower() for a in added}
+    return [c for c in df.columns if c.lower() not in gone]
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", to: str = "ids") -> DataFrame:
@@ -221,8 +223,8 @@ def encode(docs: DataFrame, path: str, text: str = "text", to: str = "ids") -> D
             ids = [np.frombuffer(codec.encode(t or ""), dtype="<u4").astype(np.int32) for t in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, type=pa.list_(pa.int32()))], names=[*kept, to])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema)
-    return docs.select(*kept).mapInArrow(run, f"{schema}, `{to}` array<int>")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[f"`{c}`" for c in kept]).schema)
+    return docs.select(*[f"`{c}`" for c in kept]).mapInArrow(run, f"{schema}, `{to}` array<int>")
 
 
 def decode(rows: DataFrame, path: str, ids: str = "ids", to: str = "text") -> DataFrame:
@@ -236,8 +238,8 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", to: str = "text") -> Da
             texts = [codec.decode(np.array(x or [], dtype="<u4").tobytes()).decode("utf-8", "replace") for x in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, type=pa.string())], names=[*kept, to])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*kept).schema)
-    return rows.select(*kept).mapInArrow(run, f"{schema}, `{to}` string")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*[f"`{c}`" for c in kept]).schema)
+    return rows.select(*[f"`{c}`" for c in kept]).mapInArrow(run, f"{schema}, `{to}` string")
 
 
 def round_trip(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:

@@ -17,15 +17,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or the one that the context was given."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not found:
-        jsc = sc._jsc.sc().getCheckpointDir()
-        if not jsc.isDefined():
+        given = sc._jsc.sc().getCheckpointDir()
+        if given.isDefined():
+            found = given.get()
+        elif sc.master.startswith("local"):  # one machine, so any of its folders is shared
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="datarill-"))
-            jsc = sc._jsc.sc().getCheckpointDir()
-        found = jsc.get()
+            found = sc._jsc.sc().getCheckpointDir().get()
+        else:
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
     return found.rstrip("/")
 
 

@@ -188,14 +188,16 @@ def components(edges: DataFrame) -> DataFrame:
     before = state(edges)
     while before[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"))
+        # Tables of their own, so that the joins may be split where one node has many neighbours.
+        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")), "least")
         large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
         large = materialize(large, "links")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        remove(least)
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
-        remove(large)
-        remove(edges)
+        for gone in (large, edges, least):
+            remove(gone)
         edges, after = small, state(small)
         if after == before:
             break
@@ -212,7 +214,8 @@ def near_duplicates(docs: DataFrame, cap: int = CAP) -> DataFrame:
     # Only fingerprints with links need a look at the rest of their component.
     lone = member.join(stars.select("root").distinct(), "root", "left_anti").where(F.col("root") == F.col("fp")).select("fp", F.col("least").alias("component_id"))
     joined = member.join(stars.select("root").distinct(), "root", "left_semi")
-    named = joined.join(joined.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
+    smallest = materialize(joined.groupBy("root").agg(F.min("least").alias("component_id")), "smallest")
+    named = joined.join(smallest, "root").select("fp", "component_id")
     return fps.join(lone.unionByName(named), "fp").select("doc_id", "fp", "component_id")
 
 
@@ -221,7 +224,9 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
 
     Rows are told apart by a number of their own, as components may share ids.
     """
-    rows = materialize(docs.select("*", F.monotonically_increasing_id().alias("_row")), "rows")
+    # Whatever docs' columns are named, they stay inside a struct.
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
+    rows = materialize(docs.select(whole, "doc_id", "text", F.monotonically_increasing_id().alias("_row")), "rows")
     marked = rows.select(F.struct("doc_id", F.xxhash64("text").alias("body"), "_row").alias("doc_id"), "text")
     kind = marked.schema["doc_id"].dataType.simpleString()
     fps = materialize(marked.mapInArrow(_fingerprints, f"doc_id {kind}, fp long"), "fingerprints")
@@ -230,7 +235,7 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     stars = components(links(least.select("fp")))
     member = least.join(stars, least["fp"] == stars["node"], "left").select(F.coalesce("root", "fp").alias("root"), "least")
     keep = member.groupBy("root").agg(F.min("least").alias("x")).select("x.doc_id._row")
-    return rows.join(keep, "_row", "left_semi").select(*docs.columns)
+    return rows.select("_row", "_doc").join(keep, "_row", "left_semi").select("_doc.*")
 
 
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

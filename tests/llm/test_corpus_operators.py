@@ -129,6 +129,28 @@ def test_line_dedup_matches_brute_force(spark):
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_rows_with_any_column_names_null_and_shared_ids(spark):
+    import public_tokenizers
+
+    from datarill.llm import byte_bpe, near_copies
+
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, text), (None, "another text of its own"), (7, "one of two"), (7, "quite unlike the other, with the same id"), (8, text), (9, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("source", F.lit("s"))
+    for name in ("_id", "_gone", "_lines", "_best", "_keep", "IDS", "_row", "_doc", "root", "sid", "fp"):
+        df = df.withColumn(name, F.lit(name))
+    want = sorted([(None, "another text of its own"), (7, "one of two"), (7, "quite unlike the other, with the same id"), (8, text), (9, None)], key=repr)
+    for drop in (simhash_dedup.drop_near_duplicates, near_copies.drop_near_copies):
+        found = drop(df)
+        assert found.columns == df.columns and sorted(((r["doc_id"], r["text"]) for r in found.collect()), key=repr) == want
+        assert {r["_row"] for r in found.collect()} == {"_row"} and drop(df.limit(0)).count() == 0
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    coded = byte_bpe.encode(df, path)
+    assert coded.columns == [c for c in df.columns if c != "IDS"] + ["ids"]
+    assert sorted((r["again"] for r in byte_bpe.decode(coded, path, to="again").collect()), key=repr) == sorted((t or "" for _, t in rows), key=repr)
+    assert line_dedup.dedup_lines(df).count() == len(rows)
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 

@@ -316,6 +316,19 @@ def test_url_rules_match_brute_force(spark):
         got = {x["page_id"]: (x["host"] or "", x["path"] or "", x["rule"], x["verdict"]) for x in url_rules.judge_urls(df, table, rows_per_salt=salt).collect()}
         assert got == {i: brute_verdict(u, rules) for i, u in enumerate(urls)}
     assert {x["verdict"] for x in url_rules.judge_urls(df, table.limit(0)).collect()} == {"allow"}
+    clash = df.withColumn("_best", F.lit(1)).withColumn("_url", F.lit(2)).withColumn("_page", F.lit(3)).withColumn("suffix", F.lit(4))
+    got = {x["page_id"]: x["verdict"] for x in url_rules.judge_urls(clash, table, max_marks=0).collect()}  # by shuffles only
+    assert got == {i: brute_verdict(u, rules)[3] for i, u in enumerate(urls)}
+
+
+def test_hot_suffixes_are_dealt_by_suffix_and_salt(spark):
+    marks = url_rules._markers(spark.createDataFrame(url_rules.RULES, "host string, path string, verdict string"))
+    keyed = spark.range(5000).selectExpr("'org.' AS suffix", "concat('http://x.org/', id) AS url", "concat('/', id) AS key")
+    swept = url_rules.sweep(keyed, marks, spark.createDataFrame([("org.", 50)], "suffix string, salts int"))
+    plan = swept._jdf.queryExecution().executedPlan().toString()
+    last = plan[plan.index("Window") :]
+    assert re.search(r"Exchange hashpartitioning\(suffix#\d+, salt#\d+", last[: last.index("Union")])
+    assert swept.count() == 5000
 
 
 # ---- decontamination
@@ -336,6 +349,53 @@ def test_decontamination_finds_reparameterised_items(spark):
         assert {r["doc_id"] for r in decontaminate.drop_contaminated(d, bench, bound).collect()} == {2, 4, 5, 6}
 
 
+def brute_leaks(text, items):
+    """(item, consistent windows, differs) by comparing every window with every window."""
+    out = set()
+    keys, slot, tokens, plain = (list(x) for x in decontaminate.canonical(text or ""))
+    for item_id, item in items:
+        ikeys, islot, itokens, iplain = (list(x) for x in decontaminate.canonical(item or ""))
+        size = min(decontaminate.WINDOW, len(ikeys))
+        literal = lambda s: len(s) - sum(s) >= min(decontaminate.MIN_LITERAL, size)
+        own = [o for o in range(len(ikeys) - size + 1) if size and literal(islot[o : o + size])]
+        if not own:
+            if len(iplain) >= decontaminate.MIN_EXACT and any(plain[p : p + len(iplain)] == iplain for p in range(len(plain))):
+                out.add((item_id, 1, False))
+            continue
+        hits = [(o, p) for o in own for p in range(len(keys) - size + 1) if ikeys[o : o + size] == keys[p : p + size]]
+        votes = {}
+        for o, p in hits:
+            for j in range(size):
+                if islot[o + j]:
+                    votes.setdefault(itokens[o + j].lower(), []).append(tokens[p + j].lower())
+        bound = {k: max(set(v), key=lambda x: (v.count(x), x == k, x)) for k, v in votes.items()}
+        good = {o for o, p in hits if all(bound[itokens[o + j].lower()] == tokens[p + j].lower() for j in range(size) if islot[o + j])}
+        if good and len(good) >= min(decontaminate.MIN_WINDOWS, len(own)):
+            out.add((item_id, len(good), any(k != v for k, v in bound.items())))
+    return out
+
+
+def test_decontamination_matches_brute_force_at_both_bounds(spark):
+    r = random.Random(12)
+    words = ["the", "train", "left", "with", "Anna", "Paris", "12", "7", "km", "people", "and", ".", "\u043f\u043e\u0435\u0437\u0434", "\u0443\u0448\u0451\u043b"]
+    make = lambda n: " ".join(r.choice(words) for _ in range(n))
+    items = [(f"i{i}", make(r.randint(1, 14))) for i in range(12)] + [("few", "What is 12 times 13?"), ("names", "Did Anna Smith meet John Brown in Paris in 1999?"), ("tiny", "12 13"), ("null", None), ("i0", "same id, another text here for both of us")]
+    items += items[:2]
+    texts = [" ".join([make(6), r.choice(items)[1] or "", make(6)]) for _ in range(40)] + ["so What is 12 times 13? yes", "What is 12 times 14?", "ok. Did Anna Smith meet John Brown in Paris in 1999? no", None, ""]
+    texts += texts[:3]
+    d = docs(spark, texts).withColumn("doc_id", F.col("doc_id") % 5).withColumn("_row", F.lit(1)).withColumn("_doc", F.lit(2))
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    want = sorted((i % 5, *m) for i, t in enumerate(texts) for m in brute_leaks(t, list(dict.fromkeys(items))))
+    clean = sorted(i % 5 for i, t in enumerate(texts) if not brute_leaks(t, items))
+    for bound in (decontaminate.MAX_WINDOWS, 0):
+        got = sorted((x["doc_id"], x["item_id"], x["n_windows"], x["reparameterised"]) for x in decontaminate.find_leaks(d, bench, bound).collect())
+        assert got == want
+        kept = decontaminate.drop_contaminated(d, bench, bound)
+        assert sorted(x["doc_id"] for x in kept.collect()) == clean and kept.columns == d.columns
+    cyrillic = spark.createDataFrame([("c", " ".join(["\u043f\u043e\u0435\u0437\u0434"] * 1000))], "item_id string, text string")
+    assert decontaminate._share(cyrillic, 999) is None and decontaminate._share(cyrillic, 1000) is not None
+
+
 def test_slots_must_be_consistent():
     binds = [[("9", "7")], [("9", "7")], [("9", "5")]]
     assert decontaminate.judged(1, 3, [0, 1, 2], binds) == (1, 2, 3, True)
@@ -396,8 +456,8 @@ def test_html_blocks_and_regions(spark):
     assert got[0]["text"] == want and got[5]["text"] == want and got[1]["text"] == "" and got[4]["n_chars"] == 0
     assert got[2]["text"] == "Head\nLong text here that varies 1\nAnd more of it"
     assert html_text.extract(df).count() == len(rows) and html_text.extract(df.limit(0)).count() == 0
-    found = {r["host"]: r for r in html_text.infer_wrappers(df).collect()}
-    assert "html/body/div/p{}+" in found["b.com"]["pattern"] and found["b.com"]["region"] == "html/body/div"
+    found = {r["host"]: r for r in html_text.infer_wrappers(html_text.measure(df)).collect()}
+    assert "html/body/div.content/p{}+" in found["b.com"]["pattern"] and found["b.com"]["region"] == "html/body/div.content"
 
 
 def test_alignment_resolves_optional_and_repeated_groups():
@@ -411,5 +471,72 @@ def test_alignment_resolves_optional_and_repeated_groups():
 def test_wrapper_tree_is_bounded(spark, monkeypatch):
     monkeypatch.setattr(html_text, "GROUP", 4)
     pages = [(i, "http://a.com", "<article>" + "".join(f"<{t}>x{i}</{t}>" for t in t_) + "</article>") for i, t_ in enumerate([["p"], ["h1", "p"], ["ul", "p"], ["h2"], ["dl", "p"], ["pre"], ["h3", "p"], ["h4"], ["table"]])]
-    found = html_text.infer_wrappers(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
-    assert len(found) == 1 and found[0]["region"] == "article"
+    found = html_text.infer_wrappers(html_text.measure(spark.createDataFrame(pages, "page_id long, url string, html string"))).collect()
+    assert len(found) == 1 and found[0]["region"] == "//article"
+
+
+def host_pages(article=True, n=12):
+    """Pages of one host whose notice and service line carry no telling markup; and the main text of each."""
+    r = random.Random(3)
+    words = [f"word{i}" for i in range(400)]
+    sentence = lambda k: " ".join(r.choices(words, k=k)).capitalize() + "."
+    rows, want = [], []
+    for i in range(n):
+        head, parts = sentence(5), [sentence(r.randint(20, 60)) for _ in range(r.randint(2, 4))]
+        body = f"<h1>{head}</h1><p>Subscribers read this page first, so please log in.</p>" + "".join(f"<p>{x}</p>" for x in parts) + '<section class="related-work"><p>' + (more := sentence(9)) + '</p></section><p class="header-lead">' + (lead := sentence(7)) + "</p>"
+        inner = f"<article>{body}</article>" if article else f'<div class="post">{body}</div>'
+        rows.append((i, f"http://h.example.org/{i}", f"<html><body><div><a href=/>Start</a> <a href=/x>More of it</a></div>{inner}<div>Call our service line at any time of day</div><div class='ad-box'>{sentence(30)}</div></body></html>"))
+        want.append("\n".join([head, *parts, more, lead]))
+    return rows, want
+
+
+def test_wrappers_choose_the_text_with_and_without_article_markup(spark):
+    schema = "page_id long, url string, html string"
+    for article in (True, False):
+        rows, want = host_pages(article)
+        got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, schema)).collect()}
+        assert [got[i] for i, *_ in rows] == want
+        # Without the host's wrapper the notice stays.
+        assert all(html_text.main_text(page, None) != text and "Subscribers" in html_text.main_text(page, None) for (_, _, page), text in zip(rows, want))
+    copies, want = host_pages(n=1)  # copies of one article don't make its text template
+    df = spark.createDataFrame([(i, copies[0][1], copies[0][2].replace("ad-box'>", f"ad-box'>{i}")) for i in range(20)], schema)
+    text = {r["text"] for r in html_text.extract(df).collect()}
+    assert len(text) == 1 and want[0].split("\n")[1] in text.pop()
+
+
+def test_html_matches_a_plain_computation(spark):
+    """Regions and templates from all pages of a host in one process."""
+    rows = [(i, u, h) for k, article in enumerate((True, False)) for i, u, h in [(100 * k + i, u.replace("h.", f"h{k}."), h) for i, u, h in host_pages(article)[0]]]
+    rows += [(r["page_id"] + 1000, r["url"], r["html"]) for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()]
+    rows += [(2000, None, "<p>alone</p>"), (2001, "http://h0.example.org/z", None)]
+    hosts, want = {}, {}
+    for i, u, h in rows:
+        hosts.setdefault(brute_verdict(u, [])[0], []).append((i, h or ""))
+    for pages in hosts.values():
+        parsed = [[b for b in html_text.blocks(h) if not b.dropped] for _, h in pages]
+        longest = [max(p, key=lambda b: len(b.text)) if p else None for p in parsed]
+        where = {}
+        for p, main in zip(parsed, longest):
+            for b in p:
+                where.setdefault((b.path, b.text), set()).add((main.path, main.text))
+        total = len({(m.path, m.text) for m in longest if m})
+        template = {k for k, v in where.items() if len(v) >= html_text.PAGES and len(v) >= html_text.SHARE * total}
+        got = None
+        for w in sorted((html_text.stream(html_text.blocks(h)) for _, h in pages), key=str):
+            got = w if got is None else html_text.align(got, w)
+        region = html_text.region(got)
+        for (i, h), p in zip(pages, parsed):
+            live = [b for b in p if (b.path, b.text) not in template]
+            kept = [b.text for b in live if html_text.inside(b.path, region)] or [b.text for b in live if html_text.inside(b.path, html_text.region(html_text.stream(live)))]
+            want[i] = "\n".join(kept)
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
+def test_broken_markup():
+    text = lambda h: html_text.main_text(h, None)
+    assert text('<p><a title="x>world</a> goes <b class="y">on</b></p>') == "world goes on"
+    assert text('<p title="a > b" data-x=\'<i>\'>one</p><p class=ad-slot>two</p>') == "one"
+    deep = "<div>" * 5000
+    assert text(f"<aside>{deep}gone</aside>{deep}stays") == "stays"
+    assert len(html_text.blocks("<a title=\"x>w</a>" * 20000)) == 1
