@@ -10,12 +10,14 @@ from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a temporary folder where that is unset (tests on one machine)."""
+    """spark.checkpoint.dir, or the folder that the context was given; a local master may do with a temporary one."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not found:
         at = sc._jsc.sc().getCheckpointDir()
         if not at.isDefined():
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="datarill-"))
             at = sc._jsc.sc().getCheckpointDir()
         found = at.get()
