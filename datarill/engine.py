@@ -15,6 +15,7 @@ from datarill.operators.fixpoint import Evaluator, Options, empty_frame
 from datarill.operators.provenance import come_from
 from datarill.plans.ast import Atom, Program, ProgramError, Query, Rule
 from datarill.plans.parser import Parser
+from datarill.plans.split import split_rules
 from datarill.plans.strata import Stratum, stratify
 from datarill.plans.validate import validate
 from datarill.sources import dot, maps, printing, tuples
@@ -138,7 +139,7 @@ class Engine:
         return asked or list(self.program.relations)
 
     def strata(self, outputs: list[str] | None = None, rules: list[Rule] | None = None) -> list[Stratum]:
-        rules = self.program.rules if rules is None else rules
+        rules = split_rules(self.program, self.program.rules if rules is None else rules)
         given = set(self.bound) | {n for n, d in self.program.relations.items() if d.options & {"input", "inputtuples"}}
         wanted = outputs if outputs is not None else self.outputs()
         if outputs is None and wanted == list(self.program.relations):

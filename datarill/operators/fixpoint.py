@@ -44,17 +44,17 @@ class Options:
 
 
 class Growing:
-    """A relation while it grows: paths of its rounds, and the newest one."""
+    """A relation while it grows: paths of its rounds, the newest one, and those before it."""
 
     def __init__(self, spark: SparkSession, name: str, df: DataFrame):
         self.spark, self.name, self.schema = spark, name, df.schema
         self.paths = [write_shared(df, name)]
         self.delta: str | None = self.paths[0]
-        self.new_rows = self.read(self.paths).count()
-        self.old: list[str] = []
+        self.before: list[str] = []
+        self.gone: list[str] = []
 
     def read(self, paths: list[str]) -> DataFrame:
-        return read_shared(self.spark, paths, self.schema)
+        return read_shared(self.spark, paths, self.schema) if paths else empty_frame(self.spark, len(self.schema))
 
     def full(self) -> DataFrame:
         return self.read(self.paths)
@@ -62,21 +62,42 @@ class Growing:
     def newest(self) -> DataFrame:
         return self.read([self.delta])
 
-    def add(self, df: DataFrame) -> int:
-        """Appends the rows of df that aren't known; returns their number."""
-        fresh = df.join(self.full(), columns(len(self.schema)), "left_anti") if len(self.schema) else df.limit(0 if self.full().take(1) else 1)
+    def older(self) -> DataFrame:
+        """What was known before the newest rows."""
+        return self.read(self.before)
+
+    def unseen(self, df: DataFrame) -> tuple[str, int]:
+        """Writes the rows of df that aren't known; their place and number."""
+        fresh = df.join(self.full(), columns(len(self.schema)), "left_anti") if len(self.schema) else df
         path = write_shared(fresh, self.name)
-        n = self.read([path]).count()
-        if n:
-            self.paths.append(path)
-            self.delta, self.new_rows = path, n
-            if len(self.paths) > COMPACT:
-                whole = write_shared(self.full(), self.name)
-                self.old += [p for p in self.paths if p != path]
-                self.paths = [whole]
-        else:
+        return path, self.read([path]).count()
+
+    def take(self, path: str, n: int) -> int:
+        """Makes what unseen() wrote the newest rows; without any there are none."""
+        # What was rewritten a round ago isn't read by any plan now.
+        remove_shared(self.spark, self.gone)
+        self.gone = []
+        if not n:
+            remove_shared(self.spark, [path])
+            self.delta = None
+            return 0
+        self.before = list(self.paths)
+        self.paths.append(path)
+        self.delta = path
+        if len(self.paths) > COMPACT:
+            whole = write_shared(self.full(), self.name)
+            self.gone = [p for p in self.paths if p != path]
+            self.paths = [whole]
+        return n
+
+    def add(self, df: DataFrame) -> int:
+        """Appends the rows of df that aren't known beside the newest ones; returns their number."""
+        path, n = self.unseen(df)
+        if not n:
             remove_shared(self.spark, [path])
-            self.delta, self.new_rows = None, 0
+            return 0
+        self.paths.append(path)
+        self.delta = write_shared(self.read([self.delta, path]), self.name) if self.delta else path
         return n
 
 
@@ -93,11 +114,13 @@ class Evaluator:
         """The rule's rows over the given tables."""
         if rule.options & {"trace", "tracefull"} or self.options.trace:
             log.info("rule of line %s for %s", rule.line, rule.head.relation)
+        if "tracefull" in rule.options:
+            for i, t in enumerate(rule.body):
+                if isinstance(t, Atom):
+                    log.info("line %s, term %s: %s has %s rows", rule.line, i, t.relation, table(t, i).count())
         if "number" in rule.options:
             return number_paths(self.spark, rule, table)
         found = self.compiler.compile(rule, table, first)
-        if "split" in rule.options:
-            found = found.hint("rebalance") if False else found
         if "single" in rule.options:
             found = found.orderBy(*found.columns).limit(1)
         return found
@@ -144,6 +167,7 @@ class Evaluator:
                     break
                 raise NotConverged(f"{', '.join(s.relations)}: no fixpoint after {limit} rounds")
             made: dict[str, list[DataFrame]] = {}
+            asked: list[tuple[str, DataFrame]] = []
             for rule in s.rules:
                 if rule.head.relation not in inside:
                     continue
@@ -153,7 +177,7 @@ class Evaluator:
                         raise ProgramError(f"line {rule.line}: a number rule can't be part of a recursion")
                 if not here and id(rule) in once:
                     continue
-                self.hooks.before(rule, self._reader(growing))
+                asked += self.hooks.before(rule, self._reader(growing), growing)
                 if done == 1 or not self.options.incremental or not here:
                     made.setdefault(rule.head.relation, []).append(self.apply(rule, current))
                     once.add(id(rule))
@@ -163,55 +187,27 @@ class Evaluator:
                             continue
                         pick = lambda a, i, at=at: growing[a.relation].newest() if i == at else current(a, i)
                         made.setdefault(rule.head.relation, []).append(self.apply(rule, pick, at))
-            changed = 0
-            fresh: dict[str, int] = {}
-            for name in s.relations:
-                g, parts = growing[name], made.get(name, [])
-                if not parts:
-                    continue
+            # All plans of a round read the state before it, so they are written before any is added.
+            written: dict[str, tuple[str, int]] = {}
+            for name, parts in made.items():
                 whole = parts[0]
                 for p in parts[1:]:
                     whole = whole.union(p)
-                fresh[name] = (whole.distinct() if len(parts) > 1 else whole, g)
-            # All plans of a round read the state before it, so they are written before any is added.
-            added = {}
-            for name, (df, g) in fresh.items():
-                before, delta = list(g.paths), g.delta
-                added[name] = (g, before, delta, df)
-            results = {}
-            for name, (g, before, delta, df) in added.items():
-                unseen = df.join(g.read(before), columns(len(g.schema)), "left_anti") if len(g.schema) else df
-                path = write_shared(unseen, name)
-                results[name] = (g, path, g.read([path]).count())
+                written[name] = growing[name].unseen(whole.distinct() if len(parts) > 1 else whole)
+            changed = 0
             for name in s.relations:
                 g = growing[name]
-                if name in results and results[name][2]:
-                    _, path, n = results[name]
-                    g.paths.append(path)
-                    g.delta, g.new_rows = path, n
-                    changed += n
-                    if len(g.paths) > COMPACT:
-                        g.old += g.paths[:-1]
-                        whole = write_shared(g.full(), name)
-                        g.paths = [whole]
+                if name in written:
+                    changed += g.take(*written[name])
                 else:
-                    g.delta, g.new_rows = None, 0
-                    if name in results:
-                        remove_shared(self.spark, [results[name][1]])
-            for target, df in self.hooks.after(s, growing, self._reader(growing)):
+                    g.delta = None
+            for target, df in [*asked, *self.hooks.after(s, growing, self._reader(growing))]:
                 if target in growing:
-                    g = growing[target]
-                    delta = g.delta
-                    n = g.add(df)
-                    changed += n
-                    if n and delta:
-                        both = write_shared(g.read([delta, g.delta]), target)
-                        g.delta = both
-                    elif not n:
-                        g.delta = delta
+                    changed += growing[target].add(df)
             if not changed:
                 break
         for name, g in growing.items():
+            remove_shared(self.spark, g.gone)
             self.values[name] = g.full()
             self.rounds[name] = done
 

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from datarill.engine import Engine
 from datarill.functions.storage import shared_dir
-from datarill.operators.numbering import path_ranges
-from datarill.sources import dot, tuples
+from datarill.operators.fixpoint import Options
+from datarill.sources import bdd, dot, tuples
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -77,32 +77,29 @@ sold (o:K, s:K)
 order_nation (o:K, n:N)
 order_nation(o,n) :- orders(o,c), customer(c,n).
 """
-#: A sparse graph on nations: each supplier's nation leads to that of the supplier with the next number.
-NEXT = """
-supplier (s:K, n:N)
-succ (s:K, t:K)
-edge (a:N, b:N)
-edge(a,b) :- supplier(s,a), succ(s,t), supplier(t,b).
-"""
-NEXT_SQL = "edge AS (SELECT DISTINCT a.s_nationkey::BIGINT AS a, b.s_nationkey::BIGINT AS b FROM supplier a JOIN supplier b ON b.s_suppkey = a.s_suppkey + 1 WHERE a.s_suppkey % 3 = 0)"
+#: A tree of all suppliers, so that recursion grows with the data: each stands under the one with half its number.
+TREE_SQL = "edge AS (SELECT s_suppkey // 2 AS a, s_suppkey AS b FROM supplier WHERE s_suppkey // 2 IN (SELECT s_suppkey FROM supplier) AND s_suppkey <> 0)"
 
 
-def _next(spark: SparkSession, d: str, text: str) -> Engine:
-    """The program over the sparse nation graph: every third supplier points to the next."""
-    e = _engine(spark, d, NEXT + text)
-    s = _table(spark, d, "supplier").where(F.col("s_suppkey") % 3 == 0)
-    e.bind("succ", s.select("s_suppkey", (F.col("s_suppkey") + 1).alias("t")))
-    return e
+def _tree(spark: SparkSession, d: str, text: str) -> Engine:
+    """The program over the tree of suppliers: edge leads from above to below."""
+    e = Engine(spark)
+    e.domain("V", 1 << 30)
+    e.load("edge (a:V, b:V)\n" + text)
+    s = _table(spark, d, "supplier").select("s_suppkey")
+    above = s.select(F.col("s_suppkey").alias("a"))
+    below = s.where("s_suppkey <> 0").select(F.floor(F.col("s_suppkey") / 2).cast("long").alias("a"), "s_suppkey")
+    return e.bind("edge", below.join(above, "a", "left_semi"))
 
 
 def _graph(name: str, text: str, out: str, sql: str | None) -> None:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return _next(spark, d, text).relation(out)
+        return _tree(spark, d, text).relation(out)
 
     run.__name__ = name
     QUERIES[name] = run
     if sql:
-        SQL[name] = f"WITH RECURSIVE {NEXT_SQL}, {sql}" if not sql.startswith("SELECT") else f"WITH {NEXT_SQL} {sql}"
+        SQL[name] = f"WITH RECURSIVE {TREE_SQL}, {sql}"
 
 
 # ---- selection, projection, joins
@@ -126,21 +123,24 @@ _program("trade_pairs", EDGE + "out (a:N, b:N)\nout(a,b) :- order_nation(o,a), s
 
 _program("union_rules", "customer (c:K, n:N)\nsupplier (s:K, n:N)\nout (n:N)\nout(n) :- customer(_,n).\nout(n) :- supplier(_,n).", "out", "SELECT c_nationkey::BIGINT AS n FROM customer UNION SELECT s_nationkey FROM supplier")
 _program("intersect", "customer (c:K, n:N)\nsupplier (s:K, n:N)\nout (n:N)\nout(n) :- customer(_,n), supplier(_,n).", "out", "SELECT c_nationkey::BIGINT AS n FROM customer INTERSECT SELECT s_nationkey FROM supplier")
-_program("difference", "nation (n:N, r:R)\nsupplier (s:K, n:N)\nhas (n:N)\nout (n:N)\nhas(n) :- supplier(_,n).\nout(n) :- nation(n,_), !has(n).", "out", "SELECT n_nationkey::BIGINT AS n FROM nation EXCEPT SELECT s_nationkey FROM supplier")
-_program("anti_join", "customer (c:K, n:N)\norders (o:K, c:K)\nbuys (c:K)\nout (c:K)\nbuys(c) :- orders(_,c).\nout(c) :- customer(c,_), !buys(c).", "out", "SELECT c_custkey AS c FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
-_program("neg_wildcard", "nation (n:N, r:R)\nregion (r:R)\nout (r:R)\nout(r) :- region(r), !nation(_,r).", "out", "SELECT r_regionkey::BIGINT AS r FROM region WHERE (SELECT count(DISTINCT n_nationkey) FROM nation WHERE n_regionkey = r_regionkey AND n_nationkey BETWEEN 0 AND 31) < 32")
+_program("difference", 'status (c:K, s:S)\npart_done (c:K)\nout (c:K)\npart_done(c) :- status(c,"P").\nout(c) :- status(c,_), !part_done(c).', "out", "SELECT o_custkey AS c FROM orders EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'")
+_program("anti_join", 'customer (c:K, n:N)\npriority (c:K, s:S)\nurgent (c:K)\nout (c:K)\nurgent(c) :- priority(c,"1-URGENT").\nout(c) :- customer(c,_), !urgent(c).', "out", "SELECT c_custkey AS c FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
 
 
-def _forall(spark: SparkSession, d: str) -> DataFrame:
+def _priorities(spark: SparkSession, d: str, text: str) -> Engine:
+    """The program over pri(c,p): the priorities 0 to 4 of each customer's orders."""
     e = Engine(spark)
     e.domain("K")
     e.domain("P", 5)
-    e.load("pri (c:K, p:P)\nout (c:K)\nout(c) :- pri(c,*).")
-    o = _table(spark, d, "orders")
-    return e.bind("pri", o.select("o_custkey", (F.substring("o_orderpriority", 1, 1).cast("long") - 1).alias("p"))).relation("out")
+    e.load("pri (c:K, p:P)\n" + text)
+    return e.bind("pri", _table(spark, d, "orders").select("o_custkey", (F.substring("o_orderpriority", 1, 1).cast("long") - 1).alias("p")))
+
 
+QUERIES["neg_wildcard"] = lambda s, d: _priorities(s, d, "out (c:K)\nout(c) :- pri(c,_), !pri(c,_).").relation("out")
+SQL["neg_wildcard"] = "SELECT o_custkey AS c FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderpriority) < 5"
 
-QUERIES["forall_division"] = _forall
+
+QUERIES["forall_division"] = lambda s, d: _priorities(s, d, "out (c:K)\nout(c) :- pri(c,*).").relation("out")
 SQL["forall_division"] = "SELECT o_custkey AS c FROM orders WHERE substr(o_orderpriority, 1, 1) BETWEEN '1' AND '5' GROUP BY 1 HAVING count(DISTINCT substr(o_orderpriority, 1, 1)) = 5"
 
 _program("unbound_head", "region (r:R)\nout (r:R, x:R)\nout(r,_) :- region(r).", "out", "SELECT DISTINCT r_regionkey::BIGINT AS r, x::BIGINT AS x FROM region CROSS JOIN range(8) t(x)")
@@ -150,13 +150,13 @@ _program("partly_bound_negation", "nation (n:N, r:R)\nregion (r:R)\nout (n:N, r:
 # ---- recursion
 
 _REACH = "reach(a, b) AS (SELECT a, b FROM edge UNION SELECT r.a, e.b FROM reach r JOIN edge e ON r.b = e.a)"
-_graph("tc_linear", "reach (a:N, b:N)\nreach(a,b) :- edge(a,b).\nreach(a,c) :- reach(a,b), edge(b,c).", "reach", f"{_REACH} SELECT * FROM reach")
-_graph("tc_nonlinear", "reach (a:N, b:N)\nreach(a,b) :- edge(a,b).\nreach(a,c) :- reach(a,b), reach(b,c).", "reach", f"{_REACH} SELECT * FROM reach")
-_graph("reach_from_root", "from (b:N)\nfrom(b) :- edge(0,b).\nfrom(c) :- from(b), edge(b,c).", "from", "f(b) AS (SELECT b FROM edge WHERE a = 0 UNION SELECT e.b FROM f JOIN edge e ON f.b = e.a) SELECT * FROM f")
-_graph("mutual_even_odd", "odd (a:N, b:N)\neven (a:N, b:N)\nodd(a,b) :- edge(a,b).\nodd(a,c) :- even(a,b), edge(b,c).\neven(a,c) :- odd(a,b), edge(b,c).", "even", "w(a, b, p) AS (SELECT a, b, 1 FROM edge UNION SELECT w.a, e.b, 1 - p FROM w JOIN edge e ON w.b = e.a) SELECT a, b FROM w WHERE p = 0")
-_graph("same_generation", "sg (a:N, b:N)\nsg(a,b) :- edge(p,a), edge(p,b).\nsg(a,b) :- edge(p,a), sg(p,q), edge(q,b).", "sg", "sg(a, b) AS (SELECT x.b, y.b FROM edge x JOIN edge y ON x.a = y.a UNION SELECT x.b, y.b FROM sg JOIN edge x ON x.a = sg.a JOIN edge y ON y.a = sg.b) SELECT * FROM sg")
-_graph("unreachable_pairs", "node (n:N)\nnode(a) :- edge(a,_).\nnode(b) :- edge(_,b).\nreach (a:N, b:N)\nreach(a,b) :- edge(a,b).\nreach(a,c) :- reach(a,b), edge(b,c).\nout (a:N, b:N)\nout(a,b) :- node(a), node(b), !reach(a,b).", "out", f"{_REACH}, node AS (SELECT a AS n FROM edge UNION SELECT b FROM edge) SELECT x.n AS a, y.n AS b FROM node x CROSS JOIN node y EXCEPT SELECT a, b FROM reach")
-_graph("strata_chain", "reach (b:N)\nreach(b) :- edge(0,b).\nreach(c) :- reach(b), edge(b,c).\nlost (a:N)\nlost(a) :- edge(a,_), !reach(a).\nsafe (a:N)\nsafe(a) :- edge(a,b), !lost(a), b != 0.", "safe", "f(b) AS (SELECT b FROM edge WHERE a = 0 UNION SELECT e.b FROM f JOIN edge e ON f.b = e.a) SELECT DISTINCT a FROM edge WHERE a IN (SELECT b FROM f) AND b <> 0")
+_graph("tc_linear", "reach (a:V, b:V)\nreach(a,b) :- edge(a,b).\nreach(a,c) :- reach(a,b), edge(b,c).", "reach", f"{_REACH} SELECT * FROM reach")
+_graph("tc_nonlinear", "reach (a:V, b:V)\nreach(a,b) :- edge(a,b).\nreach(a,c) :- reach(a,b), reach(b,c).", "reach", f"{_REACH} SELECT * FROM reach")
+_graph("reach_from_root", "from (b:V)\nfrom(b) :- edge(0,b).\nfrom(c) :- from(b), edge(b,c).", "from", "f(b) AS (SELECT b FROM edge WHERE a = 0 UNION SELECT e.b FROM f JOIN edge e ON f.b = e.a) SELECT * FROM f")
+_graph("mutual_even_odd", "odd (a:V, b:V)\neven (a:V, b:V)\nodd(a,b) :- edge(a,b).\nodd(a,c) :- even(a,b), edge(b,c).\neven(a,c) :- odd(a,b), edge(b,c).", "even", "w(a, b, p) AS (SELECT a, b, 1 FROM edge UNION SELECT w.a, e.b, 1 - p FROM w JOIN edge e ON w.b = e.a) SELECT a, b FROM w WHERE p = 0")
+_graph("same_generation", "sg (a:V, b:V)\nsg(a,b) :- edge(p,a), edge(p,b).\nsg(a,b) :- edge(p,a), sg(p,q), edge(q,b).", "sg", "sg(a, b) AS (SELECT x.b, y.b FROM edge x JOIN edge y ON x.a = y.a UNION SELECT x.b, y.b FROM sg JOIN edge x ON x.a = sg.a JOIN edge y ON y.a = sg.b) SELECT * FROM sg")
+_graph("unreachable_pairs", "node (n:V)\nnode(a) :- edge(a,_).\nnode(b) :- edge(_,b).\nreach (a:V, b:V)\nreach(a,b) :- edge(a,b).\nreach(a,c) :- reach(a,b), edge(b,c).\nout (a:V, b:V)\nout(a,b) :- node(a), node(b), !reach(a,b).", "out", f"{_REACH}, node AS (SELECT a AS n FROM edge UNION SELECT b FROM edge) SELECT x.n AS a, y.n AS b FROM node x CROSS JOIN node y EXCEPT SELECT a, b FROM reach")
+_graph("strata_chain", "reach (b:V)\nreach(b) :- edge(0,b).\nreach(c) :- reach(b), edge(b,c).\nlost (a:V)\nlost(a) :- edge(a,_), !reach(a).\nsafe (a:V)\nsafe(a) :- edge(a,b), !lost(a), b != 1.", "safe", "f(b) AS (SELECT b FROM edge WHERE a = 0 UNION SELECT e.b FROM f JOIN edge e ON f.b = e.a) SELECT DISTINCT a FROM edge WHERE a IN (SELECT b FROM f) AND b <> 1")
 
 
 def _turns(spark: SparkSession, d: str) -> DataFrame:
@@ -187,15 +187,16 @@ vP(w,g) :- L(v,f,w), vP(v,h), hP(h,f,g).
 
 
 def points_to(spark: SparkSession, d: str) -> Engine:
-    """A points-to program over relations made from suppliers and parts."""
+    """A points-to program over relations made from all parts: variables are parts, objects are brands, fields are sizes by three."""
     e = Engine(spark)
     e.domain("K")
     e.load(POINTS_TO)
-    p = _table(spark, d, "part").select(F.col("p_partkey").alias("p"), F.col("p_size").cast("long").alias("z"))
-    e.bind("vP0", p.where("p % 5 = 0").select("p", (F.col("p") % 40).alias("h")))
-    e.bind("A0", p.where("p % 3 = 0").select("p", (F.col("p") - 1).alias("s")))
-    e.bind("S", p.where("p % 7 = 0").select("p", (F.col("z") % 3).alias("f"), (F.col("p") - 2).alias("s")))
-    e.bind("L", p.where("p % 4 = 0").select("p", (F.col("z") % 3).alias("f"), (F.col("p") + 3).alias("d")))
+    p = _table(spark, d, "part").select(F.col("p_partkey").alias("p"), (F.col("p_size") % 3).cast("long").alias("f"), F.regexp_extract("p_brand", "[0-9]+", 0).cast("long").alias("h"))
+    below = lambda k: F.floor(F.col("p") / k).cast("long")
+    e.bind("vP0", p.select("p", "h"))
+    e.bind("A0", p.select("p", below(2).alias("s")))
+    e.bind("S", p.select("p", "f", below(3).alias("s")))
+    e.bind("L", p.select("p", "f", below(5).alias("d")))
     return e
 
 
@@ -208,26 +209,28 @@ _program("single_pick", "supplier (s:K, n:N)\nout (s:K, n:N)\nout(s,n) :- suppli
 _program("inferred_relation", "supplier (s:K, n:N)\nnation (n:N, r:R)\nplace(s,r) :- supplier(s,n), nation(n,r).\nout (s:K)\nout(s) :- place(s,1).", "out", "SELECT DISTINCT s_suppkey AS s FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 1")
 
 
-def _numbering(spark: SparkSession, d: str) -> DataFrame:
-    """Paths from nations that start a chain in the graph of rising nation pairs, per edge."""
-    e = _next(spark, d, "up (a:N, b:N)\nup(a,b) :- edge(a,b), a < b.\nhasin (b:N)\nhasin(b) :- up(_,b).\nroots (a:N)\nroots(a) :- up(a,_), !hasin(a).\nnum (a:N, b:N, x:K, y:K)\nnum(a,b,x,y) :- roots(a), up(a,b). number")
-    return e.relation("num")
-
-
-QUERIES["path_numbering"] = _numbering
+#: Suppliers as methods: each is called by those with a half and a third of its number, at sites of its own.
+CALLS_SQL = "WITH RECURSIVE c0 AS (SELECT s_suppkey // 2 AS a, 2 * s_suppkey AS i, s_suppkey AS b FROM supplier WHERE s_suppkey > 0 UNION ALL SELECT s_suppkey // 3, 2 * s_suppkey + 1, s_suppkey FROM supplier WHERE s_suppkey > 0 AND s_suppkey // 3 <> s_suppkey // 2), w(node) AS (SELECT 0::BIGINT UNION ALL SELECT b FROM w JOIN c0 ON node = a), c AS (SELECT i, b AS m, count(*) AS n FROM w JOIN c0 ON node = a GROUP BY 1, 2)"
 
 
-def _path_count(spark: SparkSession, d: str) -> DataFrame:
-    """Paths over each edge, counted from the numbering: one term's variables chain by name, so edges run a -> b."""
-    e = _next(spark, d, "up (a:N, b:N)\nup(a,b) :- edge(a,b), a < b.\nhasin (b:N)\nhasin(b) :- up(_,b).\nroots (a:N)\nroots(a) :- up(a,_), !hasin(a).")
-    e.solve(["up", "roots"])
-    up, roots = e.relation("up").collect(), [r[0] for r in e.relation("roots").collect()]
-    paths, _ = path_ranges(roots, [(r[0], r[1], 1) for r in up])
-    return spark.createDataFrame([(int(n), int(k)) for n, k in paths.items()], "node long, paths long")
+def _numbering(spark: SparkSession, d: str) -> DataFrame:
+    """Numbers of the call paths from supplier 0, at each site and at the method it calls."""
+    e = Engine(spark)
+    e.domain("M", 1 << 30)
+    e.domain("I", 1 << 31)
+    e.domain("C", 1 << 40)
+    e.load("roots (m:M)\nmI (m:M, i:I)\nIE (i:I, m:M)\nIEnum (i:I, m:M, x:C, y:C)\nIEnum(i,m,x,y) :- roots(m), mI(m,i), IE(i,m). number\nroots(0).")
+    s = _table(spark, d, "supplier").where("s_suppkey > 0").select(F.col("s_suppkey").alias("m"))
+    by = lambda k: F.floor(F.col("m") / k).cast("long")
+    calls = s.select(by(2).alias("a"), (F.col("m") * 2).alias("i"), "m").union(s.where(by(3) != by(2)).select(by(3), F.col("m") * 2 + 1, "m"))
+    e.bind("mI", calls.select("a", "i")).bind("IE", calls.select("i", "m"))
+    return e.relation("IEnum")
 
 
-QUERIES["path_numbering_count"] = _path_count
-SQL["path_numbering_count"] = f"WITH RECURSIVE {NEXT_SQL}, up AS (SELECT * FROM edge WHERE a < b), w(node, k) AS (SELECT DISTINCT a, 0 FROM up WHERE a NOT IN (SELECT b FROM up) UNION ALL SELECT up.b, k + 1 FROM w JOIN up ON w.node = up.a) SELECT node, count(*)::BIGINT AS paths FROM w GROUP BY 1"
+QUERIES["path_numbering"] = _numbering
+SQL["path_numbering"] = f"{CALLS_SQL}, s AS (SELECT i, m, n, coalesce(sum(n) OVER (PARTITION BY m ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS shift FROM c) SELECT i, m, x::BIGINT AS x, (x + shift)::BIGINT AS y FROM (SELECT i, m, shift, unnest(range(n)) AS x FROM s)"
+QUERIES["path_numbering_count"] = lambda spark, d: _numbering(spark, d).groupBy("m").agg(F.count(F.lit(1)).alias("paths"), F.countDistinct("y").alias("numbers"), F.min("y").alias("first"), F.max("y").alias("last"))
+SQL["path_numbering_count"] = f"{CALLS_SQL} SELECT m, sum(n)::BIGINT AS paths, sum(n)::BIGINT AS numbers, 0::BIGINT AS first, (sum(n) - 1)::BIGINT AS last FROM c GROUP BY 1"
 
 
 def _domain_map(spark: SparkSession, d: str) -> DataFrame:
@@ -281,13 +284,13 @@ SQL["tuples_roundtrip"] = "SELECT n_nationkey::BIGINT AS n, n_regionkey::BIGINT
 
 
 def _dot(spark: SparkSession, d: str) -> DataFrame:
-    e = _next(spark, d, "root (a:N)\nroot(0).")
+    e = _tree(spark, d, "root (a:V)\nroot(1).")
     _, edges = dot.graph(e, dot.parse_spec("edge edge roots root"))
     return edges.select("a", "b")
 
 
 QUERIES["dot_reachable"] = _dot
-SQL["dot_reachable"] = f"WITH RECURSIVE {NEXT_SQL}, f(b) AS (SELECT 0::BIGINT UNION SELECT e.b FROM f JOIN edge e ON f.b = e.a) SELECT a, b FROM edge WHERE a IN (SELECT b FROM f)"
+SQL["dot_reachable"] = f"WITH RECURSIVE {TREE_SQL}, f(b) AS (SELECT 1::BIGINT UNION SELECT e.b FROM f JOIN edge e ON f.b = e.a) SELECT a, b FROM edge WHERE a IN (SELECT b FROM f)"
 
 
 def _hook(spark: SparkSession, d: str) -> DataFrame:
@@ -313,3 +316,170 @@ QUERIES["invert"] = lambda s, d: _engine(s, d, "nation (n:N, r:R)").invert("nati
 SQL["invert"] = SQL["complement_pairs"]
 QUERIES["flagship_trade_reach"] = lambda s, d: _engine(s, d, EDGE + "edge (a:N, b:N)\nedge(a,b) :- order_nation(o,a), sold(o,t), supplier(t,b).\nreach (a:N, b:N)\nreach(a,b) :- edge(a,b).\nreach(a,c) :- reach(a,b), edge(b,c).").relation("reach")
 SQL["flagship_trade_reach"] = f"WITH RECURSIVE edge AS ({SQL['trade_pairs']}), {_REACH} SELECT * FROM reach"
+
+# ---- files, sessions of changes, modes
+
+_PAIRS_SQL = "SELECT n_nationkey::BIGINT AS n, n_regionkey::BIGINT AS r FROM nation"
+
+
+def _folder(spark: SparkSession) -> str:
+    import uuid
+
+    return f"{shared_dir(spark)}/datarill-files-{uuid.uuid4().hex}"
+
+
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("n"), F.col("n_regionkey").cast("long").alias("r"))
+
+
+def _local(make: Callable[[SparkSession, str, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """A query whose files the driver alone reads and writes, in a folder that it removes; the result is on the driver by then."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        import tempfile
+
+        with tempfile.TemporaryDirectory() as folder:
+            df = make(spark, d, folder)
+            return spark.createDataFrame([tuple(r) for r in df.collect()], df.schema)
+
+    return run
+
+
+def _bdd(spark: SparkSession, d: str, folder: str) -> DataFrame:
+    """The relation of nations and regions, written as a diagram and loaded by its declaration."""
+    bdd.write_bdd([tuple(r) for r in _pairs(spark, d).collect()], f"{folder}/pair.bdd", [("N", 32), ("R", 8)])
+    e = Engine(spark)
+    e.program.basedir = folder
+    e.load("N 32\nR 8\npair (n:N, r:R) input\nout (n:N, r:R)\nout(n,r) :- pair(n,r).")
+    return e.relation("out")
+
+
+QUERIES["bdd_load"] = _local(_bdd)
+SQL["bdd_load"] = _PAIRS_SQL
+
+
+def _bddinfo(spark: SparkSession, d: str, folder: str) -> DataFrame:
+    """The same from a diagram without a header, its variables placed by bddinfo."""
+    bdd.write_bdd([tuple(r) for r in _pairs(spark, d).collect()], f"{folder}/full.bdd", [("N", 32), ("R", 8)])
+    with open(f"{folder}/full.bdd", encoding="ascii") as whole, open(f"{folder}/pair.bdd", "w", encoding="ascii") as bare, open(f"{folder}/bddinfo", "w", encoding="ascii") as info:
+        bare.writelines(line for line in whole if not line.startswith("#"))
+        info.write("N\nR\n")
+    e = Engine(spark)
+    e.program.basedir = folder
+    e.load("N 32\nR 8\npair (n:N, r:R) input\nout (n:N, r:R)\nout(n,r) :- pair(n,r).")
+    return e.relation("out")
+
+
+QUERIES["bddinfo_load"] = _local(_bddinfo)
+SQL["bddinfo_load"] = _PAIRS_SQL
+
+
+def _include(spark: SparkSession, d: str, folder: str) -> DataFrame:
+    """A program that includes another, with names of a domain from a map file."""
+    with open(f"{folder}/names.map", "w", encoding="utf-8") as file:
+        file.writelines(r["n_name"] + "\n" for r in _table(spark, d, "nation").orderBy("n_nationkey").collect())
+    with open(f"{folder}/more.datalog", "w", encoding="utf-8") as file:
+        file.write("R 8\npair (n:N, r:R)\n")
+    e = Engine(spark)
+    e.program.basedir = folder
+    e.parser.include_dirs = [folder]
+    e.load('N 32 names.map\n.include "more.datalog"\nout (r:R)\nout(r) :- pair("NATION_7",r).')
+    return e.bind("pair", _pairs(spark, d)).relation("out")
+
+
+def _saved(spark: SparkSession, d: str) -> DataFrame:
+    """An output written by save() and read again; a save hook runs once."""
+    folder, ran = _folder(spark), []
+    e = _engine(spark, d, "nation (n:N, r:R)\nout (n:N, r:R) output\nout(n,r) :- nation(n,r).")
+    e.save_hooks.append(lambda engine: ran.append(engine))
+    e.save(folder)
+    return spark.read.parquet(f"{folder}/out.parquet").withColumn("hooks", F.lit(len(ran)).cast("long"))
+
+
+QUERIES["output_saved"] = _saved
+SQL["output_saved"] = "SELECT n_nationkey::BIGINT AS n, n_regionkey::BIGINT AS r, 1::BIGINT AS hooks FROM nation"
+
+
+def _ranges(spark: SparkSession, d: str) -> DataFrame:
+    """A tuple file with a range and a star."""
+    path = _folder(spark)
+    spark.createDataFrame([("# N0:5 R0:3",), ("3-5 1",), ("",), ("7 *",)], "value string").coalesce(1).write.text(path)
+    return tuples.read_tuples(spark, path, [32, 8]).toDF("n", "r")
+
+
+QUERIES["tuples_ranges"] = _ranges
+SQL["tuples_ranges"] = "SELECT n::BIGINT AS n, 1::BIGINT AS r FROM range(3, 6) t(n) UNION ALL SELECT 7, r FROM range(8) t(r)"
+
+
+def _printed(spark: SparkSession, d: str) -> DataFrame:
+    text = _engine(spark, d, "nation (n:N, r:R)").show("nation").split("\n")
+    return spark.createDataFrame([(i, line) for i, line in enumerate(text)], "i long, line string")
+
+
+QUERIES["printed_tuples"] = _printed
+SQL["printed_tuples"] = "SELECT 0::BIGINT AS i, 'Tuples in nation: (' || count(*) || ')' AS line FROM nation UNION ALL SELECT row_number() OVER (ORDER BY n_nationkey, n_regionkey), '(n=' || n_nationkey || ',r=' || n_regionkey || ')' FROM nation"
+
+
+def _added(spark: SparkSession, d: str) -> DataFrame:
+    """Tuples added to a bound relation after it was solved once."""
+    e = _engine(spark, d, "nation (n:N, r:R)\nout (n:N)\nout(n) :- nation(n,1).")
+    e.relation("out").count()
+    e.add("nation", [(30, 1), (31, 1), (30, 1)])
+    return e.relation("out")
+
+
+QUERIES["added_tuples"] = _added
+SQL["added_tuples"] = "SELECT n_nationkey::BIGINT AS n FROM nation WHERE n_regionkey = 1 UNION SELECT 30 UNION SELECT 31"
+QUERIES["column_values"] = lambda s, d: _engine(s, d, "nation (n:N, r:R)").column_values("nation", 1)
+SQL["column_values"] = "SELECT DISTINCT n_regionkey::BIGINT AS r FROM nation"
+
+
+def _empty(spark: SparkSession, d: str) -> DataFrame:
+    """A rule over a bound relation without rows adds nothing."""
+    e = _engine(spark, d, "nothing (n:N)\nnation (n:N, r:R)\nout (n:N)\nout(n) :- nation(n,_), nothing(n).\nout(n) :- nation(n,0).")
+    return e.bind("nothing", spark.createDataFrame([], "n long")).relation("out")
+
+
+QUERIES["empty_relation"] = _empty
+SQL["empty_relation"] = "SELECT n_nationkey::BIGINT AS n FROM nation WHERE n_regionkey = 0"
+_program("constant_index", 'big (n:N)\nnation (n:N, r:R)\nbig(n) :- nation(n,3).\nout (n:N)\nout(n) :- nation(n,r), big(n), r != 2. pri=3', "out", "SELECT n_nationkey::BIGINT AS n FROM nation WHERE n_regionkey = 3")
+
+
+def _naive(spark: SparkSession, d: str) -> DataFrame:
+    """tc_linear with every round over whole relations."""
+    e = _tree(spark, d, "reach (a:V, b:V)\nreach(a,b) :- edge(a,b).\nreach(a,c) :- reach(a,b), edge(b,c).")
+    e.options = Options(incremental=False)
+    return e.relation("reach")
+
+
+QUERIES["tc_naive"] = _naive
+SQL["tc_naive"] = SQL["tc_linear"]
+
+
+def _old_values(spark: SparkSession, d: str) -> DataFrame:
+    """An update block that is given the rows before the new ones: at each round, how many were known."""
+
+    def note(new: DataFrame, read, old: DataFrame) -> dict[str, DataFrame]:
+        return {"note": spark.createDataFrame([(old.count(), new.count())], "a long, b long")}
+
+    e = Engine(spark, hooks={"note": note})
+    e.domain("N", 32)
+    e.domain("R", 8)
+    e.load("hop (a:R, b:R)\nnote (a:N, b:N)\nseen (r:R) {note}\nseen(0).\nseen(s) :- seen(r), hop(r,s). modifies note")
+    e.bind("hop", _table(spark, d, "region").select("r_regionkey", (F.col("r_regionkey") + 1).alias("b")).where("b < 5"))
+    return e.relation("note")
+
+
+def _come_from(spark: SparkSession, d: str) -> DataFrame:
+    """All relations that a derived tuple comes from, with their names."""
+    e = _engine(spark, d, "supplier (s:K, n:N)\nnation (n:N, r:R)\nplace (s:K, r:R)\nplace(s,r) :- supplier(s,n), nation(n,r).")
+    found = e.query("place(_,1) :- ?")
+    return found["q_nation"].toDF("a", "b").withColumn("relation", F.lit("nation")).union(found["q_supplier"].toDF("a", "b").withColumn("relation", F.lit("supplier")))
+
+
+QUERIES["provenance_relations"] = _come_from
+SQL["provenance_relations"] = "SELECT DISTINCT n_nationkey::BIGINT AS a, n_regionkey::BIGINT AS b, 'nation' AS relation FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 1 UNION ALL SELECT s_suppkey, s_nationkey, 'supplier' FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 1"
+QUERIES["map_include"] = _local(_include)
+SQL["map_include"] = "SELECT n_regionkey::BIGINT AS r FROM nation WHERE n_nationkey = 7"
+QUERIES["update_old_values"] = _old_values
+SQL["update_old_values"] = "SELECT x::BIGINT AS a, 1::BIGINT AS b FROM range(5) t(x)"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from datarill.functions.storage import read_shared, write_shared
 
-#: Nodes and edges that are drawn at most.
+#: Nodes, and edges, of a text at most; graph() gives larger ones as tables.
 LIMIT = 100_000
 
 
@@ -88,22 +88,30 @@ def graph(engine, spec: Spec):
     return nodes.distinct(), edges.distinct()
 
 
+def _rows(df, what: str) -> list:
+    found = df.limit(LIMIT + 1).collect()
+    if len(found) > LIMIT:
+        raise ValueError(f"a drawing of more than {LIMIT} {what} isn't made; graph() gives its tables")
+    return found
+
+
 def draw(engine, spec: Spec) -> str:
+    """The graph as text; raises beyond LIMIT nodes, edges or rows of a relation that changes nodes."""
     nodes, edges = graph(engine, spec)
     domain = engine.label_map(spec.edges[0].relation)[0]
     shapes: dict = {}
     for kind, *rest in spec.modifiers:
         if kind == "relation":
-            for r in engine.relation(rest[0]).limit(LIMIT).collect():
+            for r in _rows(engine.relation(rest[0]), f"rows of {rest[0]}"):
                 shapes.setdefault(r[0], {})[rest[1]] = rest[2]
     everywhere = {m[1]: m[2] for m in spec.modifiers if m[0] == "default"}
     everywhere |= {m[2]: m[3] for m in spec.modifiers if m[0] == "domain" and domain is not None and m[1] == domain.name}
     quote = lambda x: '"' + str(x).replace("\\", "\\\\").replace('"', '\\"') + '"'
     name = lambda v: domain.label(v) if domain else str(v)
     out = ["digraph {"]
-    for r in nodes.orderBy("n").limit(LIMIT).collect():
+    for r in _rows(nodes.orderBy("n"), "nodes"):
         attributes = {**everywhere, **shapes.get(r["n"], {})}
         out.append(f"  {quote(name(r['n']))}" + (" [" + ", ".join(f"{k}={v}" for k, v in attributes.items()) + "]" if attributes else "") + ";")
-    for r in edges.orderBy("a", "b", "label").limit(LIMIT).collect():
+    for r in _rows(edges.orderBy("a", "b", "label"), "edges"):
         out.append(f"  {quote(name(r['a']))} -> {quote(name(r['b']))}" + (f" [label={quote(r['label'])}]" if r["label"] is not None else "") + ";")
     return "\n".join([*out, "}"]) + "\n"

@@ -1,21 +1,23 @@
 """Update hooks: registered callables that see changes between rounds and may add rows.
 
-A relation's block names a callable that is called with its new rows; a rule's
-pre and post blocks name callables that are called around its rounds. A hook
-returns a dict from relation to a DataFrame of rows to add (columns by
-position), or None. Program text is never executed: a block is a name that must
+A relation's block names a callable that is called with its new rows, and, if it
+takes three arguments, with the rows before them; a rule's pre and post blocks name
+callables that are called around its rounds. A hook returns a dict from relation to a
+DataFrame of rows to add (columns by position), or None; what a pre block returns is
+added at the end of its round. Program text is never executed: a block is a name that must
 be registered.
 """
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
 
 from datarill.plans.ast import Program, ProgramError, Rule
 
-Hook = Callable[[DataFrame | None, Callable[[str], DataFrame]], dict[str, DataFrame] | None]
+Hook = Callable[..., dict[str, DataFrame] | None]
 
 
 class Hooks:
@@ -31,9 +33,15 @@ class Hooks:
     def wanted(self, program: Program, rule: Rule) -> bool:
         return bool(rule.pre or rule.post)
 
-    def before(self, rule: Rule, read: Callable[[str], DataFrame]) -> None:
-        for name in rule.pre:
-            self._get(name)(None, read)
+    def _rows(self, block: str, found: dict[str, DataFrame] | None, growing: dict) -> Iterator[tuple[str, DataFrame]]:
+        for target, rows in (found or {}).items():
+            if target not in growing:
+                raise ProgramError(f"the block {{{block}}} changes {target}, which no modifies option names")
+            yield target, rows.toDF(*[f"_{i}" for i in range(len(rows.columns))]).distinct()
+
+    def before(self, rule: Rule, read: Callable[[str], DataFrame], growing: dict) -> list[tuple[str, DataFrame]]:
+        """(relation, rows) that the pre blocks of a rule add."""
+        return [x for name in rule.pre for x in self._rows(name, self._get(name)(None, read), growing)]
 
     def after(self, stratum, growing: dict, read: Callable[[str], DataFrame]) -> Iterator[tuple[str, DataFrame]]:
         """(relation, rows) that the hooks of changed relations and of rules with changed heads add."""
@@ -41,8 +49,6 @@ class Hooks:
         calls = [(n, self.program.relations[n].hook) for n in changed if self.program and self.program.relations[n].hook]
         calls += [(r.head.relation, p) for r in stratum.rules if r.head.relation in changed for p in r.post]
         for name, block in calls:
-            found = self._get(block)(growing[name].newest(), read) or {}
-            for target, rows in found.items():
-                if target not in growing:
-                    raise ProgramError(f"the block {{{block}}} changes {target}, which no modifies option names")
-                yield target, rows.toDF(*[f"_{i}" for i in range(len(rows.columns))]).distinct()
+            hook = self._get(block)
+            arguments = (growing[name].newest(), read, growing[name].older())
+            yield from self._rows(block, hook(*arguments[: 3 if len(inspect.signature(hook).parameters) > 2 else 2]), growing)
