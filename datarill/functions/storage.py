@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -34,6 +35,13 @@ def write_shared(df: DataFrame, name: str = "table") -> str:
     return path
 
 
+def write_counted(df: DataFrame, name: str = "table") -> tuple[str, int]:
+    """write_shared() and the number of rows, counted while they are written; a task that ran twice may count twice."""
+    seen = Observation()
+    path = write_shared(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
+    return path, seen.get["n"]
+
+
 def read_shared(spark: SparkSession, paths: list[str], schema: T.StructType) -> DataFrame:
     return spark.read.schema(schema).parquet(*paths)
 

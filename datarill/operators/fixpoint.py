@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from datarill.functions.storage import read_shared, remove_shared, write_shared
+from datarill.functions.storage import read_shared, remove_shared, write_counted, write_shared
 from datarill.operators.compile import RuleCompiler, columns
 from datarill.operators.numbering import number_paths
 from datarill.plans.ast import Atom, Program, ProgramError, Rule
@@ -69,8 +69,7 @@ class Growing:
     def unseen(self, df: DataFrame) -> tuple[str, int]:
         """Writes the rows of df that aren't known; their place and number."""
         fresh = df.join(self.full(), columns(len(self.schema)), "left_anti") if len(self.schema) else df
-        path = write_shared(fresh, self.name)
-        return path, self.read([path]).count()
+        return write_counted(fresh, self.name)
 
     def take(self, path: str, n: int) -> int:
         """Makes what unseen() wrote the newest rows; without any there are none."""
