@@ -1,4 +1,7 @@
-"""python -m datarill PROGRAM [FOLDER] solves a program; without a program it starts a session."""
+"""python -m datarill PROGRAM [FOLDER] solves a program; without a program it starts a session.
+
+python -m datarill map FOLDER TARGET=SIZE DOMAIN=SIZE_OR_MAP_FILE ... writes diagrams that map domains into ranges of a target.
+"""
 
 from __future__ import annotations
 
@@ -9,9 +12,14 @@ from pyspark.sql import SparkSession
 
 from datarill.engine import Engine
 from datarill.session import main as interactive
+from datarill.sources import maps
 
 
 def main(args: list[str]) -> None:
+    if args[:1] == ["map"]:
+        target, *domains = [(name, maps.size_of(size)) for name, _, size in (a.partition("=") for a in args[2:])]
+        print("\n".join(maps.write_maps(args[1], target, domains)))
+        return
     spark = SparkSession.builder.appName("datarill").getOrCreate()
     if not args:
         interactive(spark)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable, Iterable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -154,7 +155,7 @@ class Engine:
         compiler = RuleCompiler(self.spark, self.program, self.domains, self.limit)
         options = self.options
         if self.program.settings.get("incremental") in ("no", "false"):
-            options = Options(options.max_iterations, False, options.trace, options.compat_128)
+            options = replace(options, incremental=False)
         ev = Evaluator(self.spark, self.program, compiler, known, lambda n: empty_frame(self.spark, self.program.relations[n].arity), self.hooks, options)
         ev.run(self.strata(outputs, rules))
         self.rounds |= ev.rounds

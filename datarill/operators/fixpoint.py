@@ -41,6 +41,8 @@ class Options:
     trace: bool = False
     #: Stops loops silently after 128 rounds, as a compatibility switch.
     compat_128: bool = False
+    #: Folder for drawings of the graphs that number rules number.
+    number_graph: str | None = None
 
 
 class Growing:
@@ -118,7 +120,7 @@ class Evaluator:
                 if isinstance(t, Atom):
                     log.info("line %s, term %s: %s has %s rows", rule.line, i, t.relation, table(t, i).count())
         if "number" in rule.options:
-            return number_paths(self.spark, rule, table)
+            return number_paths(self.spark, rule, table, self.options.number_graph)
         found = self.compiler.compile(rule, table, first)
         if "single" in rule.options:
             found = found.orderBy(*found.columns).limit(1)

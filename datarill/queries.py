@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from datarill.engine import Engine
 from datarill.functions.storage import shared_dir
 from datarill.operators.fixpoint import Options
-from datarill.sources import bdd, dot, tuples
+from datarill.sources import bdd, dot, maps, tuples
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -213,7 +213,7 @@ _program("inferred_relation", "supplier (s:K, n:N)\nnation (n:N, r:R)\nplace(s,r
 CALLS_SQL = "WITH RECURSIVE c0 AS (SELECT s_suppkey // 2 AS a, 2 * s_suppkey AS i, s_suppkey AS b FROM supplier WHERE s_suppkey > 0 UNION ALL SELECT s_suppkey // 3, 2 * s_suppkey + 1, s_suppkey FROM supplier WHERE s_suppkey > 0 AND s_suppkey // 3 <> s_suppkey // 2), w(node) AS (SELECT 0::BIGINT UNION ALL SELECT b FROM w JOIN c0 ON node = a), c AS (SELECT i, b AS m, count(*) AS n FROM w JOIN c0 ON node = a GROUP BY 1, 2)"
 
 
-def _numbering(spark: SparkSession, d: str) -> DataFrame:
+def _numbered(spark: SparkSession, d: str) -> Engine:
     """Numbers of the call paths from supplier 0, at each site and at the method it calls."""
     e = Engine(spark)
     e.domain("M", 1 << 30)
@@ -223,13 +223,12 @@ def _numbering(spark: SparkSession, d: str) -> DataFrame:
     s = _table(spark, d, "supplier").where("s_suppkey > 0").select(F.col("s_suppkey").alias("m"))
     by = lambda k: F.floor(F.col("m") / k).cast("long")
     calls = s.select(by(2).alias("a"), (F.col("m") * 2).alias("i"), "m").union(s.where(by(3) != by(2)).select(by(3), F.col("m") * 2 + 1, "m"))
-    e.bind("mI", calls.select("a", "i")).bind("IE", calls.select("i", "m"))
-    return e.relation("IEnum")
+    return e.bind("mI", calls.select("a", "i")).bind("IE", calls.select("i", "m"))
 
 
-QUERIES["path_numbering"] = _numbering
+QUERIES["path_numbering"] = lambda spark, d: _numbered(spark, d).relation("IEnum")
 SQL["path_numbering"] = f"{CALLS_SQL}, s AS (SELECT i, m, n, coalesce(sum(n) OVER (PARTITION BY m ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS shift FROM c) SELECT i, m, x::BIGINT AS x, (x + shift)::BIGINT AS y FROM (SELECT i, m, shift, unnest(range(n)) AS x FROM s)"
-QUERIES["path_numbering_count"] = lambda spark, d: _numbering(spark, d).groupBy("m").agg(F.count(F.lit(1)).alias("paths"), F.countDistinct("y").alias("numbers"), F.min("y").alias("first"), F.max("y").alias("last"))
+QUERIES["path_numbering_count"] = lambda spark, d: _numbered(spark, d).relation("IEnum").groupBy("m").agg(F.count(F.lit(1)).alias("paths"), F.countDistinct("y").alias("numbers"), F.min("y").alias("first"), F.max("y").alias("last"))
 SQL["path_numbering_count"] = f"{CALLS_SQL} SELECT m, sum(n)::BIGINT AS paths, sum(n)::BIGINT AS numbers, 0::BIGINT AS first, (sum(n) - 1)::BIGINT AS last FROM c GROUP BY 1"
 
 
@@ -483,3 +482,31 @@ QUERIES["map_include"] = _local(_include)
 SQL["map_include"] = "SELECT n_regionkey::BIGINT AS r FROM nation WHERE n_nationkey = 7"
 QUERIES["update_old_values"] = _old_values
 SQL["update_old_values"] = "SELECT x::BIGINT AS a, 1::BIGINT AS b FROM range(5) t(x)"
+
+
+def _maps(spark: SparkSession, d: str, folder: str) -> DataFrame:
+    """Diagrams that map nations and regions into one target, loaded as relations."""
+    sizes = [("N", _table(spark, d, "nation").count()), ("R", _table(spark, d, "region").count())]
+    maps.write_maps(folder, ("T", 64), sizes)
+    e = Engine(spark)
+    e.program.basedir = folder
+    e.load("N 32\nR 8\nT 64\nmap_N_T (n:N, t:T) input\nmap_R_T (r:R, t:T) input\nall (t:T)\nall(t) :- map_N_T(_,t).\nall(t) :- map_R_T(_,t).")
+    return e.relation("all")
+
+
+QUERIES["map_builder"] = _local(_maps)
+SQL["map_builder"] = "SELECT t::BIGINT AS t FROM range((SELECT count(*) FROM nation) + (SELECT count(*) FROM region) + 2) x(t)"
+
+
+def _number_graph(spark: SparkSession, d: str, folder: str) -> DataFrame:
+    """Lines of the drawing of the numbered call graph, by kind."""
+    e = _numbered(spark, d)
+    e.options = Options(number_graph=folder)
+    e.relation("IEnum").count()
+    with open(f"{folder}/IEnum.dot", encoding="utf-8") as file:
+        lines = file.read().splitlines()
+    return spark.createDataFrame([("edges", sum("->" in x for x in lines)), ("nodes", sum("[label" in x and "->" not in x for x in lines))], "kind string, n long")
+
+
+QUERIES["number_graph"] = _local(_number_graph)
+SQL["number_graph"] = f"{CALLS_SQL} SELECT 'edges' AS kind, 2 * count(*) AS n FROM c UNION ALL SELECT 'nodes', count(*) + (SELECT count(*) FROM supplier) FROM c"
