@@ -6,8 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from datarill.functions.domains import ENUMERATION_LIMIT, DomainTooLarge
+from datarill.functions.storage import read_shared, remove_shared, write_counted
 from datarill.operators.compile import columns
 
+#: Tuples up to which a tuple file is one part.
+ONE_PART = 1_000_000
+
 
 def bits(size: int) -> int:
     return max(1, (size - 1).bit_length())
@@ -37,24 +41,30 @@ def read_tuples(spark: SparkSession, path: str, sizes: list[int | None], limit:
     return df.distinct()
 
 
-def write_tuples(df: DataFrame, path: str, domains: list[tuple[str | None, int | None]], single: bool = True) -> None:
+def write_tuples(df: DataFrame, path: str, domains: list[tuple[str | None, int | None]], single: bool | None = None) -> None:
     """Writes a folder of text parts: header first, one tuple per line; nothing at all for an empty relation, one line of ``*`` for the whole product.
 
-    ``single`` writes one part in order; without it each task writes its own
-    part and the header stands in a part of its own.
+    ``single`` writes one part in order, as is done by itself up to ONE_PART
+    tuples; otherwise each task writes its own part and the header stands in a
+    part of its own. The relation is computed once.
     """
     spark = df.sparkSession
-    if df.isEmpty():
+    written, total = write_counted(df, "tuples")
+    df = read_shared(spark, [written], df.schema)
+    if not total:
         spark.createDataFrame([], "value string").coalesce(1).write.mode("overwrite").text(path)
+        remove_shared(spark, [written])
         return
+    single = total <= ONE_PART if single is None else single
     sizes = [s for _, s in domains]
     header = "# " + " ".join(f"{d}{sum(1 for e, _ in domains[:i] if e == d)}:{bits(s) if s else 64}" for i, (d, s) in enumerate(domains))
     if all(sizes):
         product = 1
         for s in sizes:
             product *= s
-        if df.count() == product:
+        if total == product:
             spark.createDataFrame([(header,), (" ".join("*" * len(sizes)),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+            remove_shared(spark, [written])
             return
     body = df.select(F.concat_ws(" ", *[F.col(f"`{c}`").cast("string") for c in df.columns]).alias("value"), *[F.col(f"`{c}`").alias(f"o{i}") for i, c in enumerate(df.columns)])
     order = [f"o{i}" for i in range(len(df.columns))]
@@ -64,6 +74,7 @@ def write_tuples(df: DataFrame, path: str, domains: list[tuple[str | None, int |
         rows.repartition(1).sortWithinPartitions("_k", *order).select("value").write.mode("overwrite").text(path)
     else:
         head.unionByName(body.select("value")).write.mode("overwrite").text(path)
+    remove_shared(spark, [written])
 
 
 __all__ = ["DomainTooLarge", "bits", "read_tuples", "write_tuples"]
