@@ -15,8 +15,8 @@ A host's wrapper decides what is main text on all its pages:
   one feature of that mass: items in menus, forms, adverts and the like have none,
   links count little, headings and article markup count more;
 * a text is template if it stands in one item on at least SHARE of the host's
-  pages and on PAGES of them, told apart by their longest block, so that copies of
-  one article don't make its text template.
+  pages, MARKED of them inside article markup, and on PAGES of them, told apart by
+  their longest block, so that copies of one article don't make its text template.
 
 A page's text is what stands in the region, without the template and without what
 is marked as menu, form, advert and the like.
@@ -60,8 +60,8 @@ GROUP, MAX_HOSTS, MAX_TEMPLATE = 64, 50_000, 500_000
 SQUARE, DEPTH = 4, 64
 #: Share of the slots' text that a region holds.
 MASS = 0.9
-#: Share of a host's pages, and number of them, from which on a text is template.
-SHARE, PAGES = 0.5, 5
+#: Share of a host's pages, the same inside article markup, and number of pages, from which on a text is template.
+SHARE, MARKED, PAGES = 0.5, 0.95, 5
 
 # Element classes of HTML (fixed values).
 BLOCKS = frozenset(
@@ -297,6 +297,11 @@ def region(wrapper: list[list]) -> str:
     return min(best, key=lambda p: (-depth(p), p)) if best and total else ""
 
 
+def marked(path: str) -> bool:
+    """Whether a path goes through article markup."""
+    return any(_tag(p) in ARTICLES for p in path.split("/"))
+
+
 def inside(path: str, where: str) -> bool:
     if where.startswith("//"):
         return any(_tag(p) == where[2:] for p in path.split("/"))
@@ -319,7 +324,7 @@ def main_text(page: str, where: str | None, template: set[int] | frozenset[int]
     return "\n".join(kept)
 
 
-_MEASURED = "host string, layout string, pages long, mass array<long>, hashes array<long>, varies array<boolean>, texts array<struct<key:bigint,main:bigint>>"
+_MEASURED = "host string, layout string, pages long, mass array<long>, hashes array<long>, varies array<boolean>, texts array<struct<key:bigint,main:bigint,marked:boolean>>"
 
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,7 +337,7 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key = (host or "", json.dumps([[x[0], x[2]] for x in items]))
             live = [x for x in found if not x.dropped]
             longest = text_key(max(live, key=lambda x: len(x.text))) if live else 0
-            texts = {(text_key(x), longest) for x in live}
+            texts = {(text_key(x), longest, marked(x.path)) for x in live}
             old = sums.get(key)
             if old is None:
                 sums[key] = [1, [x[4] for x in items], [x[6] for x in items], [x[5] for x in items], texts]
@@ -341,9 +346,9 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 old[1] = [a + x[4] for a, x in zip(old[1], items)]
                 old[3] = [v or x[5] or h != x[6] for v, h, x in zip(old[3], old[2], items)]
                 old[4] |= texts
-        rows = [(h, k, *s[:4], [{"key": x, "main": y} for x, y in sorted(s[4])]) for (h, k), s in sums.items()]
+        rows = [(h, k, *s[:4], [{"key": x, "main": y, "marked": z} for x, y, z in sorted(s[4])]) for (h, k), s in sums.items()]
         part = list(zip(*rows)) or [()] * 7
-        kinds = [pa.string(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.struct([("key", pa.int64()), ("main", pa.int64())]))]
+        kinds = [pa.string(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.struct([("key", pa.int64()), ("main", pa.int64()), ("marked", pa.bool_())]))]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(part, kinds)], names=["host", "layout", "pages", "mass", "hashes", "varies", "texts"])
 
 
@@ -353,12 +358,13 @@ def measure(pages: DataFrame) -> DataFrame:
     return materialize(hosts.mapInArrow(_measured, _MEASURED), "layouts")
 
 
-def templates(measured: DataFrame, share: float = SHARE, pages: int = PAGES) -> DataFrame:
-    """host and the keys of its template texts, of hosts that have any. A host has as many of them as its pages have blocks, over share, at most."""
-    once = measured.select("host", F.explode("texts").alias("x")).groupBy("host", "x.key", "x.main").agg(F.count(F.lit(1)).alias("_"))
-    seen = once.groupBy("host", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= pages)
+def templates(measured: DataFrame) -> DataFrame:
+    """host and the keys of its template texts, of hosts that have any. A host has twice as many of them as a page has blocks, on average, at most."""
+    once = measured.select("host", F.explode("texts").alias("x")).groupBy("host", "x.key", "x.main", "x.marked").agg(F.count(F.lit(1)).alias("_"))
+    seen = once.groupBy("host", "key", "marked").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= PAGES)
     # A page's longest block is the one whose key is the page's own.
     sizes = once.where(F.col("key") == F.col("main")).groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    share = F.when(F.col("marked"), F.lit(MARKED)).otherwise(F.lit(SHARE))
     found = seen.join(sizes, "host").where(F.col("n") >= share * F.col("pages"))
     return found.groupBy("host").agg(F.sort_array(F.collect_list("key")).alias("template"))
 
@@ -418,8 +424,9 @@ def extract(pages: DataFrame, key: str = "page_id") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = {i: frozenset(t) for i, t in zip(b.column(4).to_pylist(), b.column(5).to_pylist())} if b.num_rows else {}
-            texts = [main_text(p or "", r, sets[h]) for p, r, h in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist())]
+            hosts = b.column(4).to_pylist()
+            sets = {h: frozenset(b.column(5)[i].as_py()) for h, i in {h: i for i, h in enumerate(hosts)}.items()}
+            texts = [main_text(p or "", r, sets[h]) for p, r, h in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), hosts)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=[key, "url", "text", "n_chars"])
 
     template = F.coalesce("_template", F.array().cast("array<bigint>"))

@@ -520,7 +520,7 @@ def test_html_matches_a_plain_computation(spark):
             for b in p:
                 where.setdefault((b.path, b.text), set()).add((main.path, main.text))
         total = len({(m.path, m.text) for m in longest if m})
-        template = {k for k, v in where.items() if len(v) >= html_text.PAGES and len(v) >= html_text.SHARE * total}
+        template = {k for k, v in where.items() if len(v) >= html_text.PAGES and len(v) >= (html_text.MARKED if html_text.marked(k[0]) else html_text.SHARE) * total}
         got = None
         for w in sorted((html_text.stream(html_text.blocks(h)) for _, h in pages), key=str):
             got = w if got is None else html_text.align(got, w)
