@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, remove, table
 
 #: A line of at least this many words is long.
 LONG_WORDS = 8
@@ -94,10 +94,13 @@ def removals(docs: DataFrame, site: str = "source", short_sites: int = SHORT_SIT
     """id, body and the sorted positions of the lines to remove from each text that loses any."""
     lines = materialize(line_table(docs, site), "spread")
     # As a table of its own, so that the join below may be split where one line has many rows.
-    bad = materialize(boilerplate(lines, short_sites, long_sites, max_lines), "boilerplate").select("a", "b", "first")
-    hit = lines.join(_sent(bad, max_lines), ["a", "b"])
+    bad = materialize(boilerplate(lines, short_sites, long_sites, max_lines), "boilerplate")
+    hit = lines.join(_sent(bad.select("a", "b", "first"), max_lines), ["a", "b"])
     same = F.col("first").eqNullSafe(F.struct("id", "body", "pos"))
-    return hit.where(~same).groupBy("id", "body").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
+    gone = materialize(hit.where(~same).groupBy("id", "body").agg(F.sort_array(F.collect_set("pos")).alias("gone")), "removals")
+    for done in (lines, bad):  # nothing reads them any more
+        remove(done)
+    return gone
 
 
 def dedup_lines(docs: DataFrame, site: str = "source", short_sites: int = SHORT_SITES, long_sites: int = LONG_SITES, max_lines: int = MAX_LINES) -> DataFrame:
