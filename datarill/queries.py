@@ -201,6 +201,21 @@ def points_to(spark: SparkSession, d: str) -> Engine:
 
 
 QUERIES["points_to_mini"] = lambda spark, d: points_to(spark, d).relation("vP")
+#: Rounds over both relations in one table with all its rows at hand: kind 0 is vP, 1 is hP.
+SQL["points_to_mini"] = """
+WITH RECURSIVE p AS (SELECT p_partkey AS p, (p_size % 3)::BIGINT AS f, regexp_extract(p_brand, '[0-9]+')::BIGINT AS h FROM part),
+t(k, a, f, b) USING KEY (k, a, f, b) AS (
+  SELECT 0, p, 0::BIGINT, h FROM p
+  UNION
+  (WITH v AS (SELECT a, b FROM recurring.t WHERE k = 0), hp AS (SELECT a, f, b FROM recurring.t WHERE k = 1), fresh AS (SELECT count(*) AS n FROM t)
+  SELECT * FROM (
+    SELECT 0, p.p, 0, v.b FROM p JOIN v ON v.a = p.p // 2
+    UNION SELECT 1, x.b, p.f, y.b FROM p JOIN v x ON x.a = p.p JOIN v y ON y.a = p.p // 3
+    UNION SELECT 0, p.p // 5, 0, hp.b FROM p JOIN v ON v.a = p.p JOIN hp ON hp.a = v.b AND hp.f = p.f
+    EXCEPT SELECT k, a, f, b FROM recurring.t) WHERE (SELECT n FROM fresh) > 0)
+)
+SELECT a AS v, b AS h FROM t WHERE k = 0
+"""
 
 # ---- options
 
