@@ -31,9 +31,7 @@ in the index. Repeated rows stay repeated.
 
 from __future__ import annotations
 
-import hashlib
 import math
-import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -283,20 +281,12 @@ def fit(docs: DataFrame, labelled: DataFrame, examples: int = EXAMPLES, relevant
     return model_of(ids, np.array(labels, int), vocabulary, rows, all_labels, relevant)
 
 
-_MODELS: dict[str, Model] = {}
-
-
 def score_texts(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score and evidence (ids of the nearest examples, nearest first) of every row of docs(doc_id, text, ...)."""
-    state = pickle.dumps(model)
-    shared = docs.sparkSession.sparkContext.broadcast((hashlib.sha256(state).hexdigest(), state))
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # a Python worker reads it once
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest, state = shared.value
-        if digest not in _MODELS:
-            _MODELS.clear()
-            _MODELS[digest] = pickle.loads(state)
-        model = _MODELS[digest]
+        model = shared.value
         for b in batches:
             found = model.score(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.list_(b.column(0).type))], names=["doc_id", "score", "evidence"])
