@@ -64,7 +64,12 @@ def fingerprint(text: str) -> int:
     shingles = map(" ".join, zip(*(words[i:] for i in range(SHINGLE)))) if n >= SHINGLE else iter([" ".join(words)])
     total = max(1, n - SHINGLE + 1)
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(s, SEED) for s in shingles), dtype="<u8", count=total)
+    return majority(np.fromiter((digest(s, SEED) for s in shingles), dtype="<u8", count=total))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Per bit, whether more than half of the hashes set it."""
+    total = len(hashes)
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, total, CHUNK):
         part = hashes[at : at + CHUNK]
@@ -157,9 +162,9 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield linked(held)
 
 
-def links(distinct: DataFrame, cap: int = CAP) -> DataFrame:
-    """Links u > v among distinct(fp) that connect all pairs within RADIUS."""
-    out, rows, keys = None, distinct.select("fp"), []
+def shared(distinct: DataFrame, cap: int = CAP) -> Iterator[tuple[list[str], DataFrame]]:
+    """For each level its key columns and distinct(fp) by bucket, buckets of two or more; all pairs within RADIUS meet in some bucket."""
+    rows, keys = distinct.select("fp"), []
     for level, phi in enumerate(FAMILIES):
         tables = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(m).alias("m")) for t, m in enumerate(masks(phi))])
         t, k = f"t{level}", f"k{level}"
@@ -169,12 +174,18 @@ def links(distinct: DataFrame, cap: int = CAP) -> DataFrame:
         sizes = materialize(sizes.select(*keys, (F.col("n") > cap).alias("over")), "buckets")
         last = level == len(FAMILIES) - 1
         some = sizes if last else sizes.where(~F.col("over"))
-        shared = rows.join(some.select(*keys), keys, "left_semi")
-        found = shared.repartition(*keys).sortWithinPartitions(*keys, "fp").select(*keys, "fp").mapInArrow(_links, "u long, v long")
-        out = found if out is None else out.unionByName(found)
+        yield keys, rows.join(some.select(*keys), keys, "left_semi")
         if last or sizes.where("over").isEmpty():
             break
         rows = rows.join(sizes.where("over").select(*keys), keys, "left_semi")
+
+
+def links(distinct: DataFrame, cap: int = CAP) -> DataFrame:
+    """Links u > v among distinct(fp) that connect all pairs within RADIUS."""
+    out = None
+    for keys, rows in shared(distinct, cap):
+        found = rows.repartition(*keys).sortWithinPartitions(*keys, "fp").select(*keys, "fp").mapInArrow(_links, "u long, v long")
+        out = found if out is None else out.unionByName(found)
     return out.distinct()
 
 

@@ -4,7 +4,8 @@ import random
 from itertools import combinations
 
 import corpus_pipeline
-from datarill.llm import simhash_dedup
+import xxhash
+from datarill.llm import near_copies, simhash_dedup
 
 DOCS = "doc_id long, text string, extra int"
 
@@ -57,3 +58,35 @@ def test_components_that_share_or_lack_ids_keep_a_row_each(spark):
     for drop in (simhash_dedup.drop_near_duplicates, lambda x: corpus_pipeline.near_dedup(spark, x, "")):
         got = sorted(((x["doc_id"], x["text"]) for x in drop(df).collect()), key=repr)
         assert got == sorted([(None, a), (None, b), (7, c), (7, d)], key=repr)
+
+
+def test_near_copies_that_share_no_minhash_band_meet_in_a_covering_table(spark):
+    r = random.Random(7)
+    base = r.choices([f"w{i}" for i in range(5000)], k=12000)
+    other, hashed = list(base), [xxhash.xxh64_intdigest(" ".join(base[i : i + 5])) for i in range(len(base) - 4)]
+    for band in range(near_copies.BANDS):  # change a word of one minimum in each band
+        flip, odd = (int(x[band * near_copies.ROWS, 0]) for x in (near_copies._FLIP, near_copies._ODD))
+        at = min(range(len(hashed)), key=lambda i: (hashed[i] ^ flip) * odd % (1 << 64))
+        other[at + 2] = f"x{band}"
+    texts = [" ".join(base), " ".join(other), " ".join(r.choices(base, k=300))]
+    a, b = map(near_copies.shingles, texts[:2])
+    assert near_copies.alike(a, b) and not any(x == y for x, y in zip(near_copies.band_keys(a), near_copies.band_keys(b)))
+    assert (simhash_dedup.majority(a) ^ simhash_dedup.majority(b)).bit_count() <= simhash_dedup.RADIUS
+    df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], DOCS)
+    assert sorted(x["doc_id"] for x in corpus_pipeline.near_dedup(spark, df, "").collect()) == brute(texts) == [0, 2]
+
+
+def test_fingerprints_within_the_radius_share_a_bucket(spark):
+    r = random.Random(8)
+    fps = [r.getrandbits(64) for _ in range(40)]
+    for fp in list(fps):
+        for n in (1, 2, 3, 4, 8):
+            fps.append(fp ^ sum(1 << b for b in r.sample(range(64), n)))
+    fps += fps[:5]
+    rows = [(i, fp - (1 << 64) if fp >> 63 else fp) for i, fp in enumerate(fps)]
+    met = {}
+    for x in near_copies.covered(spark.createDataFrame(rows, "sid long, fp long")).collect():
+        met.setdefault((x["t"], x["k"]), set()).add(x["sid"])
+    pairs = {p for b in met.values() for p in combinations(sorted(b), 2)}
+    near = {(i, j) for i, j in combinations(range(len(fps)), 2) if (fps[i] ^ fps[j]).bit_count() <= simhash_dedup.RADIUS}
+    assert near and near <= pairs
