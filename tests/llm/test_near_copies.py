@@ -90,3 +90,28 @@ def test_fingerprints_within_the_radius_share_a_bucket(spark):
     pairs = {p for b in met.values() for p in combinations(sorted(b), 2)}
     near = {(i, j) for i, j in combinations(range(len(fps)), 2) if (fps[i] ^ fps[j]).bit_count() <= simhash_dedup.RADIUS}
     assert near and near <= pairs
+
+
+def test_near_dedup_moves_no_texts_and_gives_the_same_rows_beyond_the_bound(spark):
+    r = random.Random(9)
+    texts = [" ".join(r.choices([f"w{i}" for i in range(300)], k=40)) for _ in range(30)]
+    texts += [t + " more" for t in texts[:9]] + texts[5:12]
+    df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], DOCS).repartition(5)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for most, moves in ((near_copies.MAX_MAPS, False), (0, True)):
+            kept = near_copies.drop_near_copies(df, most)
+            assert sorted(x["doc_id"] for x in kept.collect()) == brute(texts)
+            assert ("Exchange hashpartitioning" in kept._jdf.queryExecution().executedPlan().toString()) == moves
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_marked_rows_by_bitmaps(spark):
+    rows = spark.range(100_000, numPartitions=2).selectExpr("id", "monotonically_increasing_id() AS _row")
+    wanted = rows.where("id % 7 = 0 OR id BETWEEN 32760 AND 32780 OR id IN (0, 49999, 50000, 99999)")
+    expected = sorted(x["id"] for x in wanted.collect())
+    for most in (near_copies.MAX_MAPS, 0):
+        assert sorted(x["id"] for x in near_copies.marked(rows, wanted.select("_row"), most).collect()) == expected
+    assert near_copies.marked(rows, wanted.select("_row").limit(0)).count() == 0
