@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from datarill.engine import Engine
@@ -243,7 +243,17 @@ def _numbered(spark: SparkSession, d: str) -> Engine:
 
 QUERIES["path_numbering"] = lambda spark, d: _numbered(spark, d).relation("IEnum")
 SQL["path_numbering"] = f"{CALLS_SQL}, s AS (SELECT i, m, n, coalesce(sum(n) OVER (PARTITION BY m ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS shift FROM c) SELECT i, m, x::BIGINT AS x, (x + shift)::BIGINT AS y FROM (SELECT i, m, shift, unnest(range(n)) AS x FROM s)"
-QUERIES["path_numbering_count"] = lambda spark, d: _numbered(spark, d).relation("IEnum").groupBy("m").agg(F.count(F.lit(1)).alias("paths"), F.countDistinct("y").alias("numbers"), F.min("y").alias("first"), F.max("y").alias("last"))
+
+
+def _numbering_count(spark: SparkSession, d: str) -> DataFrame:
+    """Paths into each method and their numbers, from the ranges that the operator gives each call; overlaps count once."""
+    r = _numbered(spark, d).ranges("IEnum").withColumn("end", F.col("n") + F.col("shift"))
+    before = F.coalesce(F.max("end").over(Window.partitionBy("m").orderBy("shift", "i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    r = r.withColumn("fresh", F.greatest(F.col("end") - F.greatest("shift", before), F.lit(0)))
+    return r.groupBy("m").agg(F.sum("n").alias("paths"), F.sum("fresh").alias("numbers"), F.min("shift").alias("first"), (F.max("end") - 1).alias("last"))
+
+
+QUERIES["path_numbering_count"] = _numbering_count
 SQL["path_numbering_count"] = f"{CALLS_SQL} SELECT m, sum(n)::BIGINT AS paths, sum(n)::BIGINT AS numbers, 0::BIGINT AS first, (sum(n) - 1)::BIGINT AS last FROM c GROUP BY 1"
 
 
