@@ -527,10 +527,13 @@ def _number_graph(spark: SparkSession, d: str, folder: str) -> DataFrame:
     """Lines of the drawing of the numbered call graph, by kind."""
     e = _numbered(spark, d)
     e.options = Options(number_graph=folder)
-    e.relation("IEnum").count()
+    e.ranges("IEnum")
+    edges = nodes = 0
     with open(f"{folder}/IEnum.dot", encoding="utf-8") as file:
-        lines = file.read().splitlines()
-    return spark.createDataFrame([("edges", sum("->" in x for x in lines)), ("nodes", sum("[label" in x and "->" not in x for x in lines))], "kind string, n long")
+        for x in file:
+            edges += "->" in x
+            nodes += "[label" in x and "->" not in x
+    return spark.createDataFrame([("edges", edges), ("nodes", nodes)], "kind string, n long")
 
 
 QUERIES["number_graph"] = _local(_number_graph)
